@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import glyphs
+from . import glyphs, quality, tokens
 
 PROSE = ["text", "text_block", "content", "abstract"]
 
@@ -23,8 +23,22 @@ def p3_canonical(spark: SparkSession, base: str) -> DataFrame:
     return out.dropDuplicates(["block_id"])
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return quality.misfits(table(spark, base, "blocks"), PROSE)
+
+
+def p5_stats(spark: SparkSession, base: str) -> DataFrame:
+    b = table(spark, base, "blocks").select(F.lit("block").alias("rec_kind"), F.col("block_id").alias("rec_id"), F.col("content").alias("text"))
+    d = table(spark, base, "documents").select(F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), "text")
+    return quality.report(b.unionByName(d), ["rec_kind", "rec_id"], "text").dropDuplicates(["rec_kind", "rec_id"])
+
+
+def p6_ids(spark: SparkSession, base: str) -> DataFrame:
+    return tokens.encode(table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_canonical": p3_canonical}
+    return {f.__name__: f for f in (p3_found, p3_canonical, p5_found, p5_stats, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
