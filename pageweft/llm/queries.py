@@ -8,11 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import glyphs, quality, tokens
+from . import glyphs, quality, tokens, truncation
 
 PROSE = ["text", "text_block", "content", "abstract"]
 
 
+def _cuts(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.cut_blocks(*(table(spark, base, t) for t in ("blocks", "sources", "api_configs")), PROSE)
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return _cuts(spark, base).where("cut").select("block_id")
+
+
+def p2_sources(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.source_shares(_cuts(spark, base))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return glyphs.alike_pairs(table(spark, base, "blocks"))
 
@@ -38,7 +50,7 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_canonical, p5_found, p5_stats, p6_ids)}
+    return {f.__name__: f for f in (p2_found, p2_sources, p3_found, p3_canonical, p5_found, p5_stats, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
