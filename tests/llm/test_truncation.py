@@ -30,8 +30,9 @@ def test_cut_blocks(spark):
 
 
 def test_length_limit(spark):
-    rows = [(i, i, 0, "text", None, 2, f"{i:03d} " + "abcd efgh. " * (i % 23 + 1), 0) for i in range(120)]
-    rows += [(i, i, 0, "text", None, 1, (f"{i:03d} " + "abcd efgh. " * (i % 23 + 1))[:90], 0) for i in range(200, 320)]
+    text = lambda i: f"{i:03d} " + "abcd efgh. " * (i * 7 % 23) + "x" * (i * 13 % 41) + "."
+    rows = [(i, i, 0, "text", None, 2, text(i), 0) for i in range(120)]
+    rows += [(i, i, 0, "text", None, 1, text(i)[:90], 0) for i in range(200, 320)]
     got = _run(spark, rows)
     assert all((k >= 200 and len(dict((r[0], r[6]) for r in rows)[k]) == 90) == v[0] for k, v in got.items())
     assert _run(spark, rows[:1])[0][0] is False
