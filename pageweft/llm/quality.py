@@ -43,12 +43,17 @@ def _per(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _fence(df: DataFrame, name: str, fields: dict[str, Column]) -> DataFrame:
+    """``df`` with a struct of ``fields``, each computed once: the optimizer can't copy them into later expressions."""
+    return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))).alias(name))
+
+
 def with_stats(df: DataFrame, text: str) -> DataFrame:
     """``df`` with a struct column ``stats``; other columns are kept, also ones named like a statistic."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-    w, base = F.col("__w"), F.col("__t")
-    out = df.withColumn("__t", t).withColumn("__w", words)
+    out = _fence(df, "__in", {"t": t, "w": words})
+    w, base = F.col("__in.w"), F.col("__in.t")
     n_words, n_chars = F.size(w), F.length(base)
     n_lines = F.when(n_chars > 0, _n(base, r"\n(?=\S|[^\S\n]+\S)") + 1).otherwise(0)
     letters = F.length(F.array_join(w, ""))
@@ -84,7 +89,8 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
         "n_wrong": _without(base, WRONG_DECODE),
         "n_first_char": n_chars - F.length(F.replace(base, F.substring(base, 1, 1), F.lit(""))),
     }
-    return out.withColumn("stats", F.struct(*[v.cast("int").alias(k) for k, v in stats.items()])).drop("__t", "__w")
+    out = _fence(out, "__stats", {k: v.cast("int") for k, v in stats.items()})
+    return out.withColumn("stats", F.col("__stats")).drop("__in", "__stats")
 
 
 def with_verdict(df: DataFrame, text: str) -> DataFrame:
