@@ -8,11 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import glyphs, quality, tokens, truncation
+from . import glyphs, language, quality, tokens, truncation
 
 PROSE = ["text", "text_block", "content", "abstract"]
 
 
+def _records(spark: SparkSession, base: str) -> DataFrame:
+    """Prose blocks and documents as records of problem 1."""
+    names = table(spark, base, "sources").select("source_id", "source_name").dropDuplicates(["source_id"])
+    blocks = table(spark, base, "blocks").where(F.col("label").isin(PROSE)).join(names, "source_id", "left")
+    lang = language.declared(F.col("lang")).alias("declared")
+    b = blocks.select(
+        F.lit("block").alias("rec_kind"), F.col("block_id").alias("rec_id"), F.col("source_name").alias("host"), lang,
+        F.lit(None).cast("string").alias("suffix"), F.col("content").alias("text"),
+    )
+    d = table(spark, base, "documents").select(
+        F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), F.col("source").alias("host"), lang,
+        language.suffix_language(F.try_element_at("links", F.lit(1))["url"]).alias("suffix"), "text",
+    )
+    return b.unionByName(d)
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    records = _records(spark, base)
+    return language.undeclared(records, language.fit(records))
+
+
+def p1_stretches(spark: SparkSession, base: str) -> DataFrame:
+    records = _records(spark, base)
+    out = language.stretches(records, language.fit(records))
+    return out.withColumn("confidence", F.round("confidence", 4)).dropDuplicates(["rec_kind", "rec_id", "seq"])
+
+
 def _cuts(spark: SparkSession, base: str) -> DataFrame:
     return truncation.cut_blocks(*(table(spark, base, t) for t in ("blocks", "sources", "api_configs")), PROSE)
 
@@ -50,7 +77,7 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_sources, p3_found, p3_canonical, p5_found, p5_stats, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p5_found, p5_stats, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
