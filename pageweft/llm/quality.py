@@ -25,7 +25,7 @@ HAN_COMMON = "的了是不在有和就我这对都为也来到说们要"
 # Characters that stand for symbols rather than text or its punctuation.
 SYMBOLS = "#$%&*+/<=>@[\\]^_`{|}~¤°©¬™€¢®§¶±�■□▪"
 # Blanks.
-BLANKS = " \n\t\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANK = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 # Characters that fill text decoded with the wrong table.
 WRONG_DECODE = "ÃÂâÐÑ€œ™žŸ¢¤©¬°�"
 
@@ -34,6 +34,10 @@ def _n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _any_of(chars: str) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
 def _without(text: Column, chars: str) -> Column:
     """How many of ``chars`` are in ``text``."""
     return F.length(text) - F.length(F.translate(text, chars, ""))
@@ -43,35 +47,40 @@ def _per(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _fence(df: DataFrame, name: str, fields: dict[str, Column]) -> DataFrame:
+def fence(df: DataFrame, name: str, fields: dict[str, Column], replace: bool = False) -> DataFrame:
     """``df`` with a struct of ``fields``, each computed once: the optimizer can't copy them into later expressions."""
-    return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))).alias(name))
+    kept = [c for c in df.columns if c != name] if replace else ["*"]
+    if len(fields) <= 6:
+        return df.select(*kept, F.explode(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))).alias(name))
+    # in groups: one generated method for all fields would be too long to be compiled
+    names = [*fields]
+    groups = {f"{name}_{i}": names[i : i + 6] for i in range(0, len(names), 6)}
+    for g, part in groups.items():
+        df = fence(df, g, {k: fields[k] for k in part})
+    whole = F.struct(*[F.col(g)[k].alias(k) for g, part in groups.items() for k in part])
+    return df.select(*kept, *groups, whole.alias(name)).drop(*groups)
 
 
 def with_stats(df: DataFrame, text: str) -> DataFrame:
     """``df`` with a struct column ``stats``; other columns are kept, also ones named like a statistic."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-    out = _fence(df, "__in", {"t": t, "w": words})
+    out = fence(df, "__in", {"t": t, "w": words, "han": F.when(t.rlike(r"\p{IsHan}"), F.regexp_count(t, F.lit(r"\p{IsHan}"))).otherwise(0)})
     w, base = F.col("__in.w"), F.col("__in.t")
     n_words, n_chars = F.size(w), F.length(base)
     n_lines = F.when(n_chars > 0, _n(base, r"\n(?=\S|[^\S\n]+\S)") + 1).otherwise(0)
     letters = F.length(F.array_join(w, ""))
-    han = F.when(base.rlike(r"\p{IsHan}"), _n(base, r"\p{IsHan}")).otherwise(0)
-    stats = {
+    han = F.col("__in.han")
+    plain = {
         "n_chars": n_chars,
         "n_words": n_words,
         "n_lines": n_lines,
         "n_letters": letters,
         "n_han": han,
-        "n_digits": _without(base, "0123456789"),
-        "n_space": _without(base, BLANKS),
-        "n_symbols": _without(base, SYMBOLS),
+        "n_digits": _n(base, "[0-9]"),
+        "n_space": _n(base, BLANK),
+        "n_symbols": _n(base, _any_of(SYMBOLS)),
         "n_distinct": F.size(F.array_distinct(w)),
-        "n_pairs": F.when(
-            F.size(F.array_distinct(w)) <= 0.6 * F.least(n_words, F.lit(120)),
-            F.size(F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n_words, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))),
-        ).otherwise(n_words),
         "n_common": F.size(F.filter(w, lambda x: x.isin(COMMON_WORDS))),
         "n_han_common": F.when(han > 0, _without(base, HAN_COMMON)).otherwise(0),
         "n_han_distinct": F.when(han > 0, F.size(F.array_distinct(F.split(base, "")))).otherwise(0),
@@ -80,17 +89,34 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
         "n_bullets": _n(base, r"(?m)^[^\S\n]*(?:[-*+•·‣▪◦–—○●]\s|\(?(?:[0-9]{1,3}|[A-Za-zА-я]|[ivx]{1,5})[.)、]\s)"),
         "n_markup_cells": F.when(base.contains("<"), _n(base, r"(?i)</?(?:table|tr|td|th)\b")).otherwise(0),
         "n_pipe_lines": F.when(base.contains("|"), _n(base, r"(?m)^\s*\|.*\|.*$")).otherwise(0),
-        "n_cells": _n(base, r"(?m)(?:[;,\t|]|  +)(?:[-+]?[0-9][0-9.]*%?|n/a|-)(?=[;,\t|]|  |$)|[;,\t|](?=[;,\t|])"),
         "n_leaders": F.when(base.contains("...."), _n(base, r"(?m)\.{4,}[^\S\n]*[0-9]+[^\S\n]*$")).otherwise(0),
-        "n_separators": _n(base, r"[,;/|·、，]\s|、|，| - "),
-        "n_code": _n(base, r"[{}()=]|--|::|->|;$"),
-        "n_no_vowel": _n(F.lower(base), r"(?<![\p{L}'’])[bcdfghjklmnpqrstvwxz]{2,}(?![\p{L}'’.])"),
-        "n_mixed": _n(F.lower(base), r"(?<![\p{L}0-9])(?:[a-z]+[0-9]|[0-9]+[a-z])[a-z0-9]*"),
-        "n_wrong": _without(base, WRONG_DECODE),
         "n_first_char": n_chars - F.length(F.replace(base, F.substring(base, 1, 1), F.lit(""))),
     }
-    out = _fence(out, "__stats", {k: v.cast("int") for k, v in stats.items()})
-    return out.withColumn("stats", F.col("__stats")).drop("__in", "__stats")
+    out = fence(out, "__plain", {k: v.cast("int") for k, v in plain.items()})
+    p = lambda k: F.col("__plain")[k]
+    # the rest only matters to rules about text of few common words, or without sentences
+    odd = (p("n_common") < 0.4 * p("n_words")) | (p("n_sentences") == 0)
+    few = p("n_distinct") <= 0.6 * F.least(p("n_words"), F.lit(120))
+    neighbours = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n_words, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    special = {
+        "n_pairs": F.when(few, F.size(F.array_distinct(neighbours))).otherwise(p("n_words")),
+        "n_cells": F.when(
+            odd, _n(base, r"(?m)(?:[;,\t|]|  +)(?:[-+]?[0-9][0-9.]*%?|n/a|-)(?=[;,\t|]|  |$)|[;,\t|](?=[;,\t|])")
+        ).otherwise(0),
+        "n_separators": F.when(odd, _n(base, r"[,;/|·、，]\s|、|，| - ")).otherwise(0),
+        "n_code": F.when(odd, _n(base, r"[{}()=]|--|::|->|;$")).otherwise(0),
+        "n_no_vowel": F.when(
+            p("n_common") < 0.3 * p("n_words"), _n(F.lower(base), r"(?<![\p{L}'’])[bcdfghjklmnpqrstvwxz]{2,}(?![\p{L}'’.])")
+        ).otherwise(0),
+        "n_mixed": F.when(
+            (p("n_digits") > 2) & (p("n_common") < 0.3 * p("n_words")),
+            _n(F.lower(base), r"(?<![\p{L}0-9])(?:[a-z]+[0-9]|[0-9]+[a-z])[a-z0-9]*"),
+        ).otherwise(0),
+        "n_wrong": F.when(p("n_common") < 0.3 * p("n_words"), _n(base, _any_of(WRONG_DECODE))).otherwise(0),
+    }
+    stats = {k: p(k) for k in plain} | {k: v.cast("int") for k, v in special.items()}
+    out = fence(out, "__stats", stats)
+    return out.withColumn("stats", F.col("__stats")).drop("__in", "__plain", "__stats")
 
 
 def with_verdict(df: DataFrame, text: str) -> DataFrame:
@@ -117,11 +143,11 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
         "table:markup": s("n_markup_cells") >= 3,
         "table:pipes": (s("n_pipe_lines") >= 2) & (s("n_pipe_lines") >= 0.6 * s("n_lines")),
         "junk:no_text": big & (s("n_letters") + s("n_digits") < 0.15 * body),
-        "junk:wrong_decoding": big & (s("n_wrong") >= 0.3 * body),
+        "junk:wrong_decoding": big & (s("n_wrong") >= 0.3 * body) & (F.col("common_ratio") < 0.3),
         "junk:one_character": (body >= 20) & (s("n_first_char") >= 0.8 * body),
         "junk:repetition": ((s("n_words") >= 8) & (s("n_pairs") < F.when(s("n_words") < 20, 0.6).otherwise(0.35) * F.least(s("n_words"), F.lit(200)))
         & (s("n_cells") < s("n_lines")) & (s("n_bullets") < 2)) | ((s("n_han") >= 24) & (distinct <= 0.2)),
-        "junk:no_vowels": (s("n_words") >= 3) & (s("n_no_vowel") > 0.5 * latin_words),
+        "junk:no_vowels": (s("n_words") >= 3) & (s("n_no_vowel") > 0.5 * latin_words) & (F.col("common_ratio") < 0.3),
         "junk:letter_digit_mix": (s("n_mixed") >= 3) & (s("n_mixed") >= 0.3 * (s("n_space") + 1)) & (F.col("common_ratio") < 0.3),
         "junk:endless_token": (body >= 40) & (s("n_space") < 0.02 * s("n_chars")) & (s("n_han") < 0.3 * body)
         & ~F.coalesce(F.col(text), F.lit("")).rlike(r"^\s*(?:https?://|www\.)|[\\{}()]"),
