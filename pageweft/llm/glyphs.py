@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,13 +72,15 @@ def _possible(ch: str) -> frozenset[str]:
     return frozenset(out)
 
 
-_SETS: dict[str, frozenset[str]] = {}
+class _Letters(dict):
+    """Script and possible scripts of a character, looked up once."""
+
+    def __missing__(self, ch: str) -> tuple[str, frozenset[str]]:
+        out = self[ch] = _script(unicodedata.normalize("NFD", ch)[0]), _possible(ch)
+        return out
 
 
-def _sets(ch: str) -> frozenset[str]:
-    if ch not in _SETS:
-        _SETS[ch] = _possible(ch)
-    return _SETS[ch]
+_LETTERS = _Letters()
 
 
 def _respell(token: str, script: str) -> str:
@@ -91,29 +94,31 @@ def _respell(token: str, script: str) -> str:
 
 def _resolve(text: str) -> tuple[str, int, int]:
     """The text in consistent scripts; tokens that mixed scripts; tokens wholly written in look-alikes."""
-    fixed: dict[str, int] = {}
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
-    scripts = []
-    for _, _, token in tokens:
-        sets = [_sets(c) for c in token]
-        whole = frozenset.intersection(*sets)
-        scripts.append((whole, {_script(unicodedata.normalize("NFD", c)[0]) for c in token}))
-        for s in sets:  # letters without a twin tell the script of the text
-            if len(s) == 1:
-                fixed[next(iter(s))] = fixed.get(next(iter(s)), 0) + 1
+    fixed: Counter = Counter()
+    for ch, n in Counter(text).items():  # letters without a twin tell the script of the text
+        if ch.isalpha() and len(_LETTERS[ch][1]) == 1:
+            fixed[_LETTERS[ch][0]] += n
     main = max(sorted(fixed), key=fixed.get) if fixed else "Latn"
     out, at, mixed, whole_script = [], 0, 0, 0
-    for (start, end, token), (whole, now) in zip(tokens, scripts):
-        out.append(text[at:start])
-        at = end
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if main == "Latn" and token.isascii():
+            continue
+        letters = [_LETTERS[c] for c in token]
+        now = {x[0] for x in letters}
+        if len(now) == 1 and main in now:
+            continue
+        whole = frozenset.intersection(*[x[1] for x in letters])
         target = ""
         if len(now) > 1:
             mixed += 1
             target = main if main in whole else next(iter(sorted(whole)), "")
-        elif main not in now and main in whole:
+        elif main in whole:
             whole_script += 1
             target = main
-        out.append(_respell(token, target) if target in ("Latn", "Cyrl", "Grek") else token)
+        if target in ("Latn", "Cyrl", "Grek"):
+            out += [text[at : m.start()], _respell(token, target)]
+            at = m.end()
     return "".join([*out, text[at:]]), mixed, whole_script
 
 

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from . import glyphs
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "zh"]
@@ -43,6 +44,7 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+|<[^<>\n]{1,200}>")
 _CODE_LINE = re.compile(
     r"^(?: {4}|\t)|^\s*[$#]\s|^\s*(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|JOIN)\b|[{};]\s*$|^\s*\}|\w\(.*\)\s*[:{;]|^\s*(?:return|def|import|for|if|while|const|let|var|int|void)\b.*[=(:;]"
 )
+_CODE_HINT = re.compile(r"[{}=$#\t]|;\s*(?:\n|$)|    |\) *[:{;]|\b(?:SELECT|FROM|WHERE|GROUP|ORDER|INSERT|UPDATE|JOIN)\b")
 _BULLET = re.compile(r"^\s*(?:[-*+•·‣▪–—]|\(?(?:\d{1,3}|[A-Za-z])[.)])\s")
 _END = re.compile(r"[.!?。？！…．][\"'”’»)\]]*(?:\s|$)|[。？！]")
 _SEPARATOR = re.compile(r"[,;/|·、，]\s|[、，]| - ")
@@ -72,7 +74,7 @@ def host_priors(records: DataFrame) -> DataFrame:
     """rec_kind, host, prior (array of LANGUAGES' length): label counts of a host, smoothed towards those of its kind,
     which are smoothed towards the corpus, which is smoothed towards even shares."""
     n = [F.count(F.when(F.col("declared") == x, 1)).alias(x) for x in LANGUAGES]
-    host = records.groupBy("rec_kind", "host").agg(*n)
+    host = materialize(records.groupBy("rec_kind", "host").agg(*n), "hosts")  # one scan, read by all levels
     kind = host.groupBy("rec_kind").agg(*[F.sum(x).alias(f"k_{x}") for x in LANGUAGES])
     corpus = kind.agg(*[F.sum(f"k_{x}").alias(f"c_{x}") for x in LANGUAGES])
     total = lambda p: sum((F.coalesce(F.col(p + x), F.lit(0)) for x in LANGUAGES), F.lit(0))
@@ -95,8 +97,9 @@ def prose_chunks(text: str) -> list[str]:
     if "://" in text or "www." in text or "@" in text or "<" in text:
         text = _LINK.sub(" ", text)
     out = []
+    hint = _CODE_HINT.search(text)
     for chunk in text.split("\n\n"):
-        lines = [x for x in chunk.split("\n") if x.strip() and not _CODE_LINE.search(x)]
+        lines = [x for x in chunk.split("\n") if x.strip() and not (hint and _CODE_LINE.search(x))]
         while lines:
             quoted = lines[0].startswith(">")  # a quotation is a chunk of its own
             n = next((i for i, x in enumerate(lines) if x.startswith(">") != quoted), len(lines))
@@ -217,101 +220,105 @@ class Scorer:
             del self.rows[self.known :]
             self.matrix, self.common = self.model.weights, self.model.common
 
-    def stretches(self, texts: list[str | None]) -> list[list[tuple[int, np.ndarray, int, int, str]]]:
-        """For each text its stretches: language, log-likelihoods, words, letters, kind of evidence."""
-        segs: list[tuple[int, int, int, int]] = []  # text, script language or -1, letters, words
+    def stretches(self, texts: list[str | None], bias: np.ndarray) -> list[list[tuple[int, float, int, int, bool]]]:
+        """For each text its runs of sentences in one language: language, confidence, words, letters and whether they
+        are prose. ``bias`` has the evidence beside the text, a row for each text."""
+        owner: list[int] = []
+        script: list[int] = []  # 8 or 9, or -1: told by words
+        letters: list[int] = []
+        count: list[int] = []
         flat: list[int] = []
         starts: list[int] = []
-        get = self.words.get
+        get, find, index = self.words.get, _WORD.findall, self.index
         for t, text in enumerate(texts):
             if not text:
                 continue
-            for c, chunk in enumerate(prose_chunks(text)):
-                plain = chunk.isascii()
+            for chunk in prose_chunks(text):
+                chunk = chunk.lower()
+                foreign = not chunk.isascii() and (_HAN.search(chunk) or _CYRILLIC.search(chunk))
                 for seg in _SENTENCE.split(chunk):
                     if not seg or len(seg) < 4:
                         continue
-                    if not plain and not seg.isascii():
+                    words = find(seg)
+                    size = sum(map(len, words))
+                    if foreign:
                         han, cyr = len(_HAN.findall(seg)), len(_CYRILLIC.findall(seg))
-                        if han or cyr:
-                            latin = sum(map(len, _WORD.findall(seg))) - han - cyr
-                            if han * 2 > latin + cyr and han * 2 > latin or cyr > latin:
-                                zh = han * 2 > cyr
-                                words = han if zh else len(_WORD.findall(seg))
-                                segs.append((t, 9 if zh else 8, han if zh else cyr, words))
-                                starts.append(len(flat))
-                                continue
-                    words = _WORD.findall(seg.lower())
-                    if len(words) < 2:
+                        latin = size - han - cyr
+                        if (han or cyr) and (han * 2 > latin + cyr or cyr > latin):
+                            zh = han * 2 > cyr
+                            owner.append(t)
+                            script.append(9 if zh else 8)
+                            letters.append(han if zh else cyr)
+                            count.append(han if zh else len(words))
+                            starts.append(len(flat))
+                            continue
+                    n = len(words)
+                    if n < 2 or n > 11 and len(set(words)) * 3 < n:  # repetition
                         continue
-                    segs.append((t, -1, sum(map(len, words)), len(words)))
+                    owner.append(t)
+                    script.append(-1)
+                    letters.append(size)
+                    count.append(n)
                     starts.append(len(flat))
-                    flat += [i if (i := get(w)) is not None else self.index(w) for w in words]
+                    flat += [i if (i := get(w)) is not None else index(w) for w in words]
         self.ready()
         out: list[list] = [[] for _ in texts]
-        if not segs:
+        if not owner or not len(self.matrix):
             return out
-        ids = np.array([*flat, 0], int)
+        ids = np.array(flat, int)
         bounds = np.array([*starts, len(flat)])
-        cum = np.zeros((len(ids) + 1, LATIN), "float64")
-        np.cumsum(self.matrix[ids], 0, out=cum[1:]) if len(self.matrix) else None
-        score = cum[bounds[1:]] - cum[bounds[:-1]]
-        hits = np.zeros((len(ids) + 1, LATIN), "int64")
-        np.cumsum(self.common[ids], 0, out=hits[1:]) if len(self.matrix) else None
+        cum = np.zeros((len(ids) + 1, LATIN))
+        np.cumsum(self.matrix[ids], 0, out=cum[1:])
+        total = cum[bounds[1:]] - cum[bounds[:-1]] + bias[owner][:, :LATIN]
+        hits = np.zeros((len(ids) + 1, LATIN), "int32")
+        np.cumsum(self.common[ids], 0, out=hits[1:])
         hit = hits[bounds[1:]] - hits[bounds[:-1]]
-        distinct = [len(set(flat[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
-        for k, (t, script, letters, words) in enumerate(segs):
-            if script >= 0:
-                out[t].append((script, None, words, letters, words))
-            elif distinct[k] * 3 >= words:  # else repetition
-                out[t].append((-1, score[k], words, letters, hit[k]))
-        return out
-
-
-def _judge(stretches: list, bias: np.ndarray) -> list[tuple[int, float, int, int, bool]]:
-    """Language, confidence, words, letters and whether it is prose, of each run of sentences in one language."""
-    labels = []
-    for script, score, words, letters, hit in stretches:
-        if script >= 0:
-            labels.append((script, 1.0, words, letters, words))
-            continue
-        total = score + bias[:LATIN]
-        order = np.argsort(total)
-        lead = total[order[-1]] - total[order[-2]]
-        best = int(order[-1])
-        p = 1.0 / np.exp(np.minimum(total - total[best], 0)).sum()
-        labels.append((best if lead >= MARGIN else -1, float(p), words, letters, int(hit[best])))
-    runs: list[list] = []
-    for lang, p, words, letters, hit in labels:
-        if lang < 0:  # too little to tell: part of whatever it stands in
-            if runs and words <= 3:
-                runs[-1][2] += words
-                runs[-1][3] += letters
-            continue
-        if runs and runs[-1][0] == lang:
-            r = runs[-1]
-            r[1], r[2], r[3], r[4] = 1 - (1 - r[1]) * (1 - p), r[2] + words, r[3] + letters, r[4] + hit
-            r[5] = max(r[5], words if lang == 9 else letters)
-        else:
-            runs.append([lang, p, words, letters, hit, words if lang == 9 else letters])
-    out = []
-    for lang, p, words, letters, hit, longest in runs:
+        best = total.argmax(1)
+        top = np.partition(total, LATIN - 2, 1)
+        sure = top[:, -1] - top[:, -2] >= MARGIN
+        p = 1.0 / np.exp(np.maximum(total - top[:, -1:], -700)).sum(1)
+        told = np.array(script)
+        by_script = told >= 0
+        lang = np.where(by_script, told, np.where(sure, best, -1)).tolist()
+        seen = np.where(by_script, count, hit[np.arange(len(best)), best]).tolist()
+        p = np.where(by_script, 1.0, p).tolist()
+        run, last = None, -1
+        for t, x, q, n, size, h in zip(owner, lang, p, count, letters, seen):
+            if t != last:
+                run, last = None, t
+            if x < 0:  # too little to tell: part of whatever it stands in
+                if run and n <= 3:
+                    run[2] += n
+                    run[3] += size
+                continue
+            if run and run[0] == x:
+                run[1], run[2], run[3], run[4] = 1 - (1 - run[1]) * (1 - q), run[2] + n, run[3] + size, run[4] + h
+                run[5] = max(run[5], size)
+            else:
+                run = [x, q, n, size, h, size]
+                out[t].append(run)
+        return [[self._prose(r) for r in runs] if runs else runs for runs in out]
+
+    @staticmethod
+    def _prose(run: list) -> tuple[int, float, int, int, bool]:
+        lang, p, words, letters, hit, longest = run
         if lang == 9:
             prose = longest >= MIN_HAN
         else:
             prose = words >= MIN_WORDS and longest >= MIN_LETTERS and (lang == 8 or hit >= max(1, words // 12))
-        out.append((lang, min(p, 0.9999), words, letters, prose))
-    return out
+        return lang, min(p, 0.9999), words, letters, prose
 
 
-def stretches(records: DataFrame, model: Model) -> DataFrame:
+def stretches(records: DataFrame, model: Model, min_letters: int = 0) -> DataFrame:
     """rec_kind, rec_id, declared, seq, lang, confidence, words, letters, prose: one row for each stretch in one language.
 
     ``records`` has rec_kind, rec_id, host, declared, suffix and text. Null or empty texts and texts without prose have
-    no stretch; a null host takes the prior of its kind's unlabelled hosts. Columns beyond these are ignored."""
+    no stretch; a null host has an even prior. Columns beyond these are ignored. Records of fewer than ``min_letters`` letters have none."""
     records = records.select("rec_kind", "rec_id", "host", "declared", "suffix", "text")
     shared = records.sparkSession.sparkContext.broadcast(model)
-    rows = records.join(host_priors(records), ["rec_kind", "host"], "left").select(
+    # written, the priors have a known size: few hosts are broadcast, many are joined by a shuffle
+    priors = materialize(host_priors(records), "priors")
+    rows = records.join(priors, ["rec_kind", "host"], "left").select(
         "rec_kind", "rec_id", "declared", "suffix", "prior", "text"
     )
 
@@ -325,14 +332,17 @@ def stretches(records: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             d = {k: batch.column(k).to_pylist() for k in ("declared", "suffix", "prior", "text")}
             cols: list[list] = [[] for _ in range(7)]
-            priors: dict = {}
-            for i, found in enumerate(scorer.stretches(d["text"])):
-                if not found:
+            logs: dict = {None: np.full(len(LANGUAGES), math.log(0.1))}
+            bias = []
+            for a, b, prior in zip(d["declared"], d["suffix"], d["prior"]):
+                key = prior and tuple(prior)
+                if key not in logs:
+                    logs[key] = np.log(np.maximum(prior, 1e-6))
+                bias.append(votes[a, b] + logs[key])
+            for i, found in enumerate(scorer.stretches(d["text"], np.array(bias).reshape(-1, len(LANGUAGES)))):
+                if found and len(d["text"][i]) < 4 * min_letters and sum(map(str.isalpha, d["text"][i])) < min_letters:
                     continue
-                key = id(d["prior"][i]) if d["prior"][i] is None else tuple(d["prior"][i])
-                if key not in priors:
-                    priors[key] = np.log(np.maximum(d["prior"][i] or [0.1] * len(LANGUAGES), 1e-6))
-                for seq, (lang, p, words, letters, prose) in enumerate(_judge(found, votes[d["declared"][i], d["suffix"][i]] + priors[key])):
+                for seq, (lang, p, words, letters, prose) in enumerate(found):
                     for c, v in zip(cols, (i, seq, LANGUAGES[lang], p, words, letters, prose)):
                         c.append(v)
             scorer.forget()
@@ -359,7 +369,6 @@ def _vote(lang: int | None, right: float) -> np.ndarray:
 def undeclared(records: DataFrame, model: Model, min_letters: int = 40) -> DataFrame:
     """rec_kind, rec_id, lang: the languages in which a record of at least ``min_letters`` letters has prose of about a
     sentence or more, unless its declared language names them. Repeated rows count once."""
-    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
-    found = stretches(records.where((F.length("text") >= min_letters) & (letters >= min_letters)), model)
+    found = stretches(records, model, min_letters)
     other = F.col("declared").isNull() | (F.col("lang") != F.col("declared"))
     return found.where(F.col("prose") & other).select("rec_kind", "rec_id", "lang").distinct()
