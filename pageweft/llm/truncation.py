@@ -25,78 +25,105 @@ PAGE_LINE = r"\n[\s\-–—\[(]*(?:\p{L}{1,7}\.?\s+)?(?:[0-9]{1,4}|[ivxlc]{1,8})
 MIN_INSIDE, MIN_PAIR = 3, 10
 #: The share of a trigram's or pair's places that may be ends if ends count as almost never.
 END_SHARE = 0.03
+#: Characters at a text's end that are searched for marks and page leftovers.
+WINDOW = 240
+#: Bits of the map of asked keys: 1 MiB.
+BITMAP_BITS = 1 << 23
 #: A length limit shows when its pile is this many texts and this many times the usual count of a length below it.
 PILE, PILE_RATIO = 5, 8.0
 
 
-def _words(text: Column) -> Column:
-    """Tokens between blanks, digits folded; each Han character is one."""
-    folded = F.regexp_replace(text, r"[0-9]+", "0")
-    spaced = F.when(folded.rlike(r"\p{IsHan}"), F.regexp_replace(folded, r"([\p{IsHan}，。？！；：、])", "$1 ")).otherwise(folded)
-    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
-
-
-def _core(text: Column) -> Column:
-    """The text without a page number line, a running title and a cut mark at its end."""
-    body = F.regexp_replace(text, PAGE_LINE, "")
-    body = F.when(body.contains("\n"), F.regexp_replace(body, TITLE_LINE, "$1")).otherwise(body)
-    return F.regexp_replace(body, CUT_MARK, "")
-
-
-def _triples(words: Column) -> Column:
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    return F.arrays_zip(
-        F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"), F.slice(words, F.lit(3), n).alias("c")
+def _with_words(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """``df`` with an array of tokens between blanks, digits folded; each Han character is one. Null text has none."""
+    flat = F.translate(text, "123456789\n\t", "000000000  ")
+    df = quality.fence(df, "__flat", {"t": flat})
+    t = F.col("__flat.t")
+    df = quality.fence(df, "__flat", {"t": F.when(t.contains("00"), F.regexp_replace(t, "00+", "0")).otherwise(t)}, replace=True)
+    spaced = F.when(t.rlike(r"\p{IsHan}"), F.regexp_replace(t, r"([\p{IsHan}，。？！；：、])", "$1 ")).otherwise(t)
+    return quality.fence(df, "__words", {"w": F.split(spaced, " ")}).withColumn(name, F.col("__words.w")).drop("__flat", "__words")
+
+
+def _with_core(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """``df`` with the text less a page number line, a running title and a cut mark at its end. Only the last characters
+    are searched for them."""
+    size = F.greatest(F.length(text) - WINDOW, F.lit(0))
+    df = quality.fence(df, "__cut", {"start": F.substring(text, F.lit(1), size), "end": F.substring(text, size + 1, F.lit(WINDOW))})
+    start, end = F.col("__cut.start"), F.col("__cut.end")
+    body = F.when(end.contains("\n"), F.regexp_replace(F.regexp_replace(end, PAGE_LINE, ""), TITLE_LINE, "$1")).otherwise(end)
+    df = quality.fence(df, "__cut", {"start": start, "end": body}, replace=True)
+    whole = F.concat(start, F.rtrim(F.regexp_replace(end, CUT_MARK, "")))
+    return quality.fence(df, "__core", {"t": whole}).withColumn(name, F.col("__core.t")).drop("__cut", "__core")
+
+
+def trigram_counts(texts: DataFrame, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """key, inside, at_end: counts of trigrams and of their first pairs over all ``texts``, by hash.
+
+    With ``asked`` (a column key) only keys that fall on a bit of theirs are counted: a bitmap of fixed size spares the
+    shuffle of keys that nobody asks for and changes no count of the asked ones."""
+    rows = _with_core(texts.select(F.col(text).alias("t")), "t", F.col("t"))
+    rows = _with_words(rows, "w", F.col("t")).select("w").where(F.size("w") >= 3)
+    rows = rows.select("w", F.posexplode("w").alias("i", "a")).where(F.col("i") + 2 < F.size("w"))
+    b, c = F.get("w", F.col("i") + 1), F.get("w", F.col("i") + 2)
+    rows = rows.select(
+        (F.col("i") + 3 == F.size("w")).alias("end"), F.explode(F.array(F.xxhash64("a", b, c), F.xxhash64("a", b))).alias("key")
     )
+    if asked is not None:
+        rows = asked_only(rows, asked)
+    end = F.col("end")
+    return rows.groupBy("key").agg(F.count(F.when(~end, 1)).alias("inside"), F.count(F.when(end, 1)).alias("at_end"))
 
 
-def trigram_counts(texts: DataFrame, text: str) -> DataFrame:
-    """key, inside, at_end: counts of trigrams (xxhash64 of three words) and of their first pairs (of two words)."""
-    one = texts.select(_core(F.col(text)).alias("t")).select(_words(F.col("t")).alias("w")).where(F.size("w") >= 3)
-    rows = one.select(F.posexplode(_triples(F.col("w"))).alias("i", "g"), (F.size("w") - 3).alias("last"))
-    end = F.col("i") == F.col("last")
-    both = rows.select(
-        F.explode(F.array(F.xxhash64("g.a", "g.b", "g.c"), F.xxhash64("g.a", "g.b"))).alias("key"), end.cast("int").alias("e")
-    )
-    return both.groupBy("key").agg(F.sum(1 - F.col("e")).alias("inside"), F.sum("e").alias("at_end"))
+def asked_only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose key falls on a bit of the asked keys' map: at most BITMAP_BITS / 64 cells are broadcast."""
+    slot = lambda k: F.pmod(k.bitwiseXOR(F.shiftrightunsigned(k, 29)), F.lit(BITMAP_BITS))
+    bits = asked.select(slot(F.col("key")).alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__cell"))
+    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(__slot & 63 as int)))").alias("__bits"))
+    near = rows.withColumn("__slot", slot(F.col("key"))).withColumn("__cell", F.shiftright("__slot", 6))
+    near = near.join(F.broadcast(bits), "__cell")
+    return near.where(F.getbit("__bits", F.col("__slot").bitwiseAND(F.lit(63)).cast("int")) == 1).drop("__cell", "__bits", "__slot")
 
 
 def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
     """What later steps need of each block, without its text."""
-    t = F.col("t")
     src = blocks.where("content is not null and content <> ''").select(
-        "block_id", "page_id", "pos", "source_id", "label", F.col("label").isin(prose).alias("prose"),
-        F.col("n_tokens").alias("spent"), F.col("content").alias("t"), _core(F.col("content")).alias("core"),
-    )
-    src = src.withColumn("ended", F.col("core").rlike(ENDED) | (F.trim("core") == ""))
-    src = src.withColumn("open_text", F.when(~F.col("ended"), F.col("core")))
-    src = quality.with_verdict(src, "open_text")
-    words = _words(F.col("core"))
-    first_line, last_line = F.substring_index("core", "\n", 1), F.substring_index("core", "\n", -1)
+        "block_id", "page_id", "pos", "source_id", "label", F.col("label").isin(prose).alias("prose"), F.col("n_tokens").alias("spent"), F.col("content").alias("t")
+    )
+    src = _with_core(src, "core", F.col("t"))
+    t, core = F.col("t"), F.col("core")
+    near_end = F.substring(core, F.greatest(F.length(core) - 40, F.lit(0)) + 1, F.lit(40))
+    src = quality.fence(src, "__end", {"ended": near_end.rlike(ENDED) | (F.trim(core) == "")}).withColumn("ended", F.col("__end.ended"))
+    # only open text of labels that may hold prose needs a verdict
+    src = quality.with_verdict(src.withColumn("open_text", F.when(~F.col("ended") & F.col("prose"), core)), "open_text")
+    table = (F.col("label") == "table") | (F.col("kind") == "table")
+    first_line, last_line = F.substring_index(core, "\n", 1), F.substring_index(core, "\n", -1)
     cells = lambda line: F.regexp_count(line, F.lit(r"[;,\t]"))
     open_table = (
-        (F.lower("core").contains("<table") & ~F.lower("core").contains("</table>"))
-        | ((F.col("kind") == "table") & first_line.rlike(r"^\s*\|") & ~last_line.rlike(r"\|\s*$"))
-        | (F.array_contains("reasons", "table:cells") & (cells(first_line) >= 2) & (cells(last_line) < cells(first_line)))
+        (core.contains("<t") & F.lower(core).contains("<table") & ~F.lower(core).contains("</table>"))
+        | (table & first_line.rlike(r"^\s*\|") & ~last_line.rlike(r"\|\s*$"))
+        | (table & (cells(first_line) >= 2) & (cells(last_line) < cells(first_line)))
     )
-    size = F.size("w")
+    open_end = ~F.col("ended")
+    tail = F.substring(core, F.greatest(F.length(core) - 2 * WINDOW, F.lit(0)) + 1, F.lit(2 * WINDOW))
+    src = _with_words(src, "w", F.when(open_end, tail))
+    src = _with_words(src, "h", F.when(F.col("prose"), F.substring(core, F.lit(1), F.lit(WINDOW))))
     at = lambda i: F.try_element_at("w", F.lit(i))
+    three = open_end & (F.size("w") >= 3)
+    stop = lambda e: F.xxhash64(at(-3), at(-2), F.concat(at(-1), F.lit(e)))
     out = src.select(
         "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "kind",
         F.xxhash64(t).alias("hash"), F.length(t).alias("n_chars"), F.octet_length(F.rtrim(t, F.lit("\ufffd"))).alias("n_bytes"),
-        (t.endswith("\ufffd") & (F.col("kind") == "prose")).alias("split_char"),
-        t.rlike(CUT_MARK).alias("marked"), open_table.alias("open_table"), words.alias("w"),
+        (t.endswith("\ufffd") & (F.col("kind") == "prose") & F.col("prose")).alias("split_char"),
+        F.substring(t, F.greatest(F.length(t) - 12, F.lit(0)) + 1, F.lit(13)).rlike(CUT_MARK).alias("marked"),
+        open_table.alias("open_table"), "w", "h",
     )
     return out.select(
-        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "kind", "n_chars", "n_bytes", "split_char", "marked", "open_table",
-        F.when(~F.col("ended") & (size >= 3), F.xxhash64(at(-3), at(-2), at(-1))).alias("k3"),
-        F.when(~F.col("ended") & (size >= 3), F.xxhash64(at(-3), at(-2))).alias("k2"),
-        F.when(
-            ~F.col("ended") & (size >= 3), F.transform(F.array(F.lit("."), F.lit("?"), F.lit("。")), lambda e: F.xxhash64(at(-3), at(-2), F.concat(at(-1), e)))
-        ).alias("stops"),
-        F.when(~F.col("ended") & (size >= 2), F.array(at(-2), at(-1))).alias("tail"),
-        size.alias("n_words"), "hash",
-        F.when(F.col("prose") & (size >= 2), F.array(at(1), at(2))).alias("head"),
+        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "kind", "n_chars", "n_bytes", "split_char", "marked", "open_table", "hash",
+        F.when(three, F.xxhash64(at(-3), at(-2), at(-1))).alias("k3"),
+        F.when(three, F.xxhash64(at(-3), at(-2))).alias("k2"),
+        F.when(three, F.array(stop("."), stop("?"), stop("。"))).alias("stops"),
+        F.when(open_end & (F.size("w") >= 2), F.array(at(-2), at(-1))).alias("tail"),
+        F.size("w").alias("n_words"),
+        F.when(F.col("prose") & (F.size("h") >= 2), F.array(F.col("h")[0], F.col("h")[1])).alias("head"),
     )
 
 
@@ -127,7 +154,6 @@ def cut_blocks(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
         "next_head",
         F.first(F.when(F.col("prose"), F.col("head")), True).over(Window.partitionBy("page_id").orderBy("pos", "block_id").rowsBetween(1, Window.unboundedFollowing)),
     )
-    join = lambda i, a, b: F.xxhash64(i, a, b)
     tail, head = F.col("tail"), F.col("next_head")
     stopped = rows.groupBy("label").agg(F.avg(F.col("ended").cast("int")).alias("share")).where("share >= 0.5").select("label")
     open_ends = follow.where("not ended and k3 is not null and kind = 'prose'").join(stopped, "label", "left_semi").select(
@@ -135,14 +161,14 @@ def cut_blocks(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
         F.concat(F.transform("stops", lambda k: F.struct(F.lit("stop").alias("role"), k.alias("key"))), F.array(
             F.struct(F.lit("k3").alias("role"), F.col("k3").alias("key")),
             F.struct(F.lit("k2").alias("role"), F.col("k2").alias("key")),
-            F.struct(F.lit("over").alias("role"), F.when(head.isNotNull(), join(tail[0], tail[1], head[0])).alias("key")),
-            F.struct(F.lit("over").alias("role"), F.when(head.isNotNull(), join(tail[1], head[0], head[1])).alias("key")),
+            F.struct(F.lit("over").alias("role"), F.when(head.isNotNull(), F.xxhash64(tail[0], tail[1], head[0])).alias("key")),
+            F.struct(F.lit("over").alias("role"), F.when(head.isNotNull(), F.xxhash64(tail[1], head[0], head[1])).alias("key")),
         )).alias("keys"),
     )
     asked = open_ends.select("block_id", "prose", "n_words", F.explode("keys").alias("k")).select("block_id", "prose", "n_words", "k.role", "k.key").where("key is not null")
-    counts = trigram_counts(blocks.where("content is not null"), "content")
-    wanted = asked.select("key").distinct()
-    known = asked.join(counts.join(wanted, "key", "left_semi"), "key", "left").fillna(0, ["inside", "at_end"])
+    asked = materialize(asked, "asked")
+    counts = trigram_counts(blocks.where("content is not null"), "content", asked.select("key"))
+    known = asked.join(counts, "key", "left").fillna(0, ["inside", "at_end"])
     pick = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0))
     seen = known.groupBy("block_id", "prose", "n_words").agg(
         pick("k3", "inside").alias("in3"), pick("k3", "at_end").alias("end3"), pick("k2", "inside").alias("in2"),
