@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import glyphs, language, quality, tokens, truncation
+from . import glyphs, language, ocr, quality, subjects, tokens, truncation
 
 PROSE = ["text", "text_block", "content", "abstract"]
 
@@ -62,6 +62,23 @@ def p3_canonical(spark: SparkSession, base: str) -> DataFrame:
     return out.dropDuplicates(["block_id"])
 
 
+def _page_texts(spark: SparkSession, base: str) -> DataFrame:
+    """Prose blocks and page markdown as texts of problem 4; a redelivered one counts once."""
+    b = table(spark, base, "blocks").where(F.col("label").isin(PROSE))
+    r = table(spark, base, "parse_results")
+    return b.select(F.lit("content").alias("field"), F.col("block_id").alias("rec_id"), "page_id", F.col("content").alias("text")).unionByName(
+        r.select(F.lit("markdown").alias("field"), F.col("result_id").alias("rec_id"), "page_id", F.col("markdown").alias("text"))
+    )
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return ocr.defects(_page_texts(spark, base), table(spark, base, "blocks"), table(spark, base, "pages_dim"))
+
+
+def p4_text(spark: SparkSession, base: str) -> DataFrame:
+    return ocr.repair(_page_texts(spark, base), table(spark, base, "blocks"), table(spark, base, "pages_dim"))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return quality.misfits(table(spark, base, "blocks"), PROSE)
 
@@ -76,8 +93,23 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode(table(spark, base, "documents"))
 
 
+def _subject_sentences(spark: SparkSession, base: str) -> DataFrame:
+    names = [r["subject"] for r in table(spark, base, "subjects").select("subject").orderBy("subject").collect()]  # fixed
+    lang = language.declared(F.col("lang"))
+    return subjects.subject_sentences(table(spark, base, "documents"), table(spark, base, "subject_labels"), names, lang)
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _subject_sentences(spark, base).where("n_sentences >= 2").select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, base: str) -> DataFrame:
+    docs = _subject_sentences(spark, base).where("n_sentences >= 2")
+    return docs.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p5_found, p5_stats, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
