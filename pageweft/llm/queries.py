@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import glyphs, language, ocr, quality, subjects, tokens, truncation
+from . import glyphs, language, ocr, packing, quality, subjects, tokens, truncation
 
 PROSE = ["text", "text_block", "content", "abstract"]
 
@@ -93,6 +93,21 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode(table(spark, base, "documents"))
 
 
+def _filled(spark: SparkSession, base: str) -> DataFrame:
+    kinds = table(spark, base, "containers")
+    names = sorted(r["tokenizer"] for r in kinds.select("tokenizer").distinct().collect())  # a fixed list
+    return packing.fill(packing.pieces(packing.sizes(table(spark, base, "documents"), names), kinds))
+
+
+def p7_containers(spark: SparkSession, base: str) -> DataFrame:
+    out = _filled(spark, base)
+    return out.select("container_id", "bin", F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"))
+
+
+def p7_report(spark: SparkSession, base: str) -> DataFrame:
+    return packing.report(_filled(spark, base))
+
+
 def _subject_sentences(spark: SparkSession, base: str) -> DataFrame:
     names = [r["subject"] for r in table(spark, base, "subjects").select("subject").orderBy("subject").collect()]  # fixed
     lang = language.declared(F.col("lang"))
@@ -109,7 +124,7 @@ def p8_composition(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p7_containers, p7_report, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
