@@ -1,8 +1,8 @@
 """Problem 7: texts into containers of fixed capacity, with little room left.
 
 Partitions of bounded size are packed by best-fit decreasing. Lower bounds from dual feasible functions certify a
-partition whose number of containers can't be lowered; of the others, the containers with room left give their texts
-to fewer, larger pools, which are packed again, until no round can gain. A text is split only where it alone exceeds
+partition whose number of containers can't be lowered; the others, and the containers with gaps of certified ones,
+exchange their texts in fewer and larger pools, which are packed again, until nobody is left to exchange with. A text is split only where it alone exceeds
 the capacity: into full pieces, which need a container each, and a rest.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialize
 from . import tokens
 
-#: Items packed in one task, rounds of exchange, and the share of a container whose room counts as a gap.
-ITEMS_PER_PARTITION, MAX_ROUNDS, GAP = 50_000, 4, 0.01
+#: Items packed in one task at first; rounds of exchange, in each of which the pools may be twice as large; the share of
+#: its capacity that a container of a certified partition may leave empty without being packed again.
+ITEMS_PER_PARTITION, MAX_ROUNDS, GAP = 50_000, 4, 0.02
 
 _COUNTERS: dict[str, object] = {}
 
@@ -158,7 +159,7 @@ def fill(items: DataFrame, per_partition: int = ITEMS_PER_PARTITION) -> DataFram
         last = round_no == MAX_ROUNDS - 1
         alone = [c for c, p in parts.items() if p == 1] if not last else [*parts]
         # pools of one partition have nobody left to exchange with
-        settled = F.col("certified") | (F.col("room") <= GAP * F.col("capacity")) | F.col("container_id").isin(alone)
+        settled = (F.col("certified") & (F.col("room") <= GAP * F.col("capacity"))) | F.col("container_id").isin(alone)
         fixed = packed.where(settled).drop("certified")
         done = fixed if done is None else done.unionByName(fixed)
         left = packed.where(~settled).drop("certified", "bin", "room")
