@@ -32,6 +32,7 @@ MIN_COUNT, MIN_LENGTH = 20, 3
 
 WORD = r"[\p{L}\p{M}0-9@$]*\p{L}(?:[\p{L}\p{M}0-9@$|!]*[\p{L}0-9@$])?"
 BREAK = r"(?<![\p{L}\p{N}])(\p{L}+)([-‐¬\x{AD}])[^\S\n]*\n\s*(\p{Ll}\p{L}*|\p{Lu}+)(?![\p{L}\p{N}])"
+AT_END = r"[-‐¬\x{AD}][^\S\n]*\n"
 JOIN = r"(\p{L})[-‐¬\x{AD}][^\S\n]*\n\s*(?=\p{L})"
 NUMBER_LINE = r"(?m)^[\s\-–—\[(]*(?:\p{L}{1,7}\.?[^\S\n]+)?(?:[0-9]{1,4}|[ivxlc]{1,8})(?:[^\S\n]*[/(][^\S\n]*[0-9]{1,4}[^\S\n]*\)?)?[^\S\n\p{L}\p{N}]*$"
 TITLE_LABELS = ["doc_title", "paragraph_title", "figure_title"]
@@ -92,7 +93,7 @@ def _distances(seen, true):
 
 def _tokens(text: Column) -> Column:
     """Words of the text in lower case, those broken over a line end joined."""
-    whole = F.when(text.rlike(JOIN), F.regexp_replace(text, JOIN, "$1")).otherwise(text)
+    whole = F.when(text.contains("\n") & text.rlike(AT_END), F.regexp_replace(text, JOIN, "$1")).otherwise(text)
     return F.regexp_extract_all(F.lower(whole), F.lit(WORD), F.lit(0))
 
 
@@ -145,12 +146,12 @@ def misread(texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def broken(texts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """field, rec_id, left, mark, right: words broken over a line end, without compounds that merely wrapped there."""
     at = lambda i: F.regexp_extract_all("text", F.lit(BREAK), F.lit(i))
-    here = texts.where(F.col("text").rlike(BREAK))
+    here = texts.where(F.col("text").contains("\n") & F.col("text").rlike(AT_END)).where(F.col("text").rlike(BREAK))
     rows = here.select("field", "rec_id", F.explode(F.arrays_zip(at(1).alias("l"), at(2).alias("m"), at(3).alias("r"))).alias("b"))
     rows = rows.select("field", "rec_id", F.col("b.l").alias("left"), F.col("b.m").alias("mark"), F.col("b.r").alias("right"))
     rows = rows.withColumn("compound", F.lower(F.concat("left", F.lit("-"), "right")))
     breaks = rows.where(F.col("mark").isin("-", "‐")).groupBy("compound").agg(F.count("*").alias("n_broken"))
-    whole = texts.where(F.col("text").rlike(r"\p{L}-\p{L}")).select(
+    whole = texts.where(F.col("text").contains("-")).where(F.col("text").rlike(r"\p{L}-\p{L}")).select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))).alias("compound")
     )
     whole = whole.groupBy("compound").agg(F.count("*").alias("n_whole"))
