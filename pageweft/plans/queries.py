@@ -139,6 +139,30 @@ def _blocks_json(spark, base):
     return b.select("block_id", F.col("out_pos").alias("out_pos"), F.md5(render.block_json()).alias("json_md5"))
 
 
+def _image_prep(spark, base):
+    """Each embedding's first 48 values as a 4 by 4 picture through the pixel kernels."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions import images as I
+
+        for b in batches:
+            pics = [np.clip(np.array(v[:48]) * 64 + 128, 0, 255).astype(np.uint8).reshape(4, 4, 3) for v in b.column(1).to_pylist()]
+            turned = [I.rotate(p, 90) for p in pics]
+            ready = [I.normalize(I.resize(t, 8, 8, "catmull_rom"), (0.5,) * 3, (0.5,) * 3, bgr=True) for t in turned]
+            cols = [[int(t[0, 0, 0]) for t in turned], [int(p[3, 0, 0]) for p in pics], [float(r.mean()) for r in ready], [float(I.max_pool(r, 3, 2).max()) for r in ready]]
+            yield pa.record_batch([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.float64()))]], names=["vec_id", "corner", "was", "mean", "top"])
+
+    return table(spark, base, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, corner int, was int, mean double, top double")
+
+
+def _config(spark, base):
+    s = formats.settings(F.col("props"), {"k": ("int", -1), "hidden_size": ("int", 1024), "rescale": ("double", 0.5)})
+    return table(spark, base, "events").select("event_id", s.alias("s")).select("event_id", "s.*")
+
+
 QUERIES = {
     "flt_score": lambda s, b: boxes(s, b).where(F.col("score") >= CONFIG.layout_threshold).select("page_id", "id", "score"),
     "flt_ref": lambda s, b: _ids(boxes(s, b).where("label <> 'reference'")),
@@ -203,6 +227,14 @@ QUERIES = {
     "src_verify": _verify,
     "snk_err": lambda s, b: table(s, b, "events").select("event_id", formats.status_of(F.when(F.col("event_type") == "error", "queue_full").when(F.col("event_type") == "click", "image")).alias("status")),
     "str_queue": _admission,
+    "src_modelcfg": _config,
+    "prj_angle": lambda s, b: table(s, b, "label_dim").select("label_id", L.angle(F.when(F.col("label_id") % 3 == 0, F.col("label")).otherwise((F.col("label_id") * 90).cast("string"))).alias("angle")),
+    "prj_maxtok": lambda s, b: table(s, b, "api_configs").select("api_id", F.least("max_tokens", F.lit(1024)).alias("limit")),
+    "prj_dtype": lambda s, b: table(s, b, "label_dim").select("label_id", formats.dtype(F.element_at(F.array(*map(F.lit, ("bfloat16", "float16", "float32", "int8"))), F.col("label_id") % 4 + 1), False).alias("dtype")),
+    "prj_trim": lambda s, b: blocks(s, b).select("block_id", F.md5(F.trim("content")).alias("text_md5")),
+    "agg_result": lambda s, b: blocks(s, b).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x")).select("page_id", F.posexplode("x").alias("n", "v")).select("page_id", "n", "v.pos", "v.label"),
+    "agg_countchk": lambda s, b: Q.spans(tokens(s, b), PLACEHOLDER).groupBy("seq_id").agg(F.sum(F.col("stop") - F.col("start")).alias("n"), F.count("*").alias("spans")),
+    "img_prep": _image_prep,
 }
 
 _BOX = """box AS (SELECT d.page_id, d.id, d.ord, coalesce(l.label, 'unknown') AS label, d.score, d.x1, d.y1, d.x2, d.y2
@@ -352,4 +384,13 @@ ORACLE = {
     "src_verify": "SELECT page_id AS ord, filename AS path FROM pages_dim WHERE filename IS NOT NULL AND filename NOT IN (SELECT filename FROM parse_results WHERE filename IS NOT NULL)",
     "snk_err": "SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 400 ELSE 200 END AS status FROM events",
 }
+ORACLE |= {
+    "src_modelcfg": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INT), -1) AS k, 1024 AS hidden_size, 0.5::DOUBLE AS rescale FROM events",
+    "prj_angle": "SELECT label_id, CASE WHEN label_id % 3 = 0 THEN 0 ELSE label_id * 90 END AS angle FROM label_dim",
+    "prj_maxtok": "SELECT api_id, least(max_tokens, 1024) AS limit FROM api_configs",
+    "prj_dtype": "SELECT label_id, CASE label_id % 4 WHEN 0 THEN 'bf16' WHEN 1 THEN 'f16' WHEN 2 THEN 'f32' END AS dtype FROM label_dim",
+    "prj_trim": f"WITH {_BLK} SELECT block_id, md5(trim(content)) AS text_md5 FROM blk",
+    "agg_result": f"WITH {_BLK} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n, pos, label FROM blk",
+    "agg_countchk": f"WITH {_TOK} SELECT seq_id, sum(stop - start) AS n, count(*) AS spans FROM sp GROUP BY seq_id",
+}
 ORACLE["jon_contain_array"] = ORACLE["jon_contain"]
