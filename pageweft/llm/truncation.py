@@ -51,7 +51,8 @@ def _with_core(df: DataFrame, name: str, text: Column) -> DataFrame:
     start, end = F.col("__cut.start"), F.col("__cut.end")
     body = F.when(end.contains("\n"), F.regexp_replace(F.regexp_replace(end, PAGE_LINE, ""), TITLE_LINE, "$1")).otherwise(end)
     df = quality.fence(df, "__cut", {"start": start, "end": body}, replace=True)
-    whole = F.concat(start, F.rtrim(F.regexp_replace(end, CUT_MARK, "")))
+    mark = F.length(F.regexp_extract(F.substring(end, F.greatest(F.length(end) - 16, F.lit(0)) + 1, F.lit(17)), CUT_MARK, 0))
+    whole = F.concat(start, F.rtrim(F.substring(end, F.lit(1), F.length(end) - mark)))
     return quality.fence(df, "__core", {"t": whole}).withColumn(name, F.col("__core.t")).drop("__cut", "__core")
 
 
@@ -92,32 +93,31 @@ def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
     t, core = F.col("t"), F.col("core")
     near_end = F.substring(core, F.greatest(F.length(core) - 40, F.lit(0)) + 1, F.lit(40))
     src = quality.fence(src, "__end", {"ended": near_end.rlike(ENDED) | (F.trim(core) == "")}).withColumn("ended", F.col("__end.ended"))
-    # only open text of labels that may hold prose needs a verdict
-    src = quality.with_verdict(src.withColumn("open_text", F.when(~F.col("ended") & F.col("prose"), core)), "open_text")
-    table = (F.col("label") == "table") | (F.col("kind") == "table")
+    table = (F.col("label") == "table") | F.col("prose")
     first_line, last_line = F.substring_index(core, "\n", 1), F.substring_index(core, "\n", -1)
     cells = lambda line: F.regexp_count(line, F.lit(r"[;,\t]"))
-    open_table = (
-        (core.contains("<t") & F.lower(core).contains("<table") & ~F.lower(core).contains("</table>"))
-        | (table & first_line.rlike(r"^\s*\|") & ~last_line.rlike(r"\|\s*$"))
-        | (table & (cells(first_line) >= 2) & (cells(last_line) < cells(first_line)))
-    )
+    open_markup = core.contains("<t") & F.lower(core).contains("<table") & ~F.lower(core).contains("</table>")
+    open_rows = F.when(
+        table & ~F.col("ended"),
+        (first_line.rlike(r"^\s*\|") & ~last_line.rlike(r"\|\s*$")) | ((cells(first_line) >= 2) & (cells(last_line) < cells(first_line))),
+    ).otherwise(F.lit(False))
     open_end = ~F.col("ended")
-    tail = F.substring(core, F.greatest(F.length(core) - 2 * WINDOW, F.lit(0)) + 1, F.lit(2 * WINDOW))
+    # three words at the end, two at the start
+    tail = F.substring(core, F.greatest(F.length(core) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
     src = _with_words(src, "w", F.when(open_end, tail))
-    src = _with_words(src, "h", F.when(F.col("prose"), F.substring(core, F.lit(1), F.lit(WINDOW))))
+    src = _with_words(src, "h", F.when(F.col("prose"), F.substring(core, F.lit(1), F.lit(WINDOW // 2))))
     at = lambda i: F.try_element_at("w", F.lit(i))
     three = open_end & (F.size("w") >= 3)
     stop = lambda e: F.xxhash64(at(-3), at(-2), F.concat(at(-1), F.lit(e)))
     out = src.select(
-        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "kind",
+        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended",
         F.xxhash64(t).alias("hash"), F.length(t).alias("n_chars"), F.octet_length(F.rtrim(t, F.lit("\ufffd"))).alias("n_bytes"),
-        (t.endswith("\ufffd") & (F.col("kind") == "prose") & F.col("prose")).alias("split_char"),
+        (t.endswith("\ufffd") & F.col("prose")).alias("split_char"),
         F.substring(t, F.greatest(F.length(t) - 12, F.lit(0)) + 1, F.lit(13)).rlike(CUT_MARK).alias("marked"),
-        open_table.alias("open_table"), "w", "h",
+        open_markup.alias("open_markup"), open_rows.alias("open_rows"), "w", "h",
     )
     return out.select(
-        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "kind", "n_chars", "n_bytes", "split_char", "marked", "open_table", "hash",
+        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "n_chars", "n_bytes", "split_char", "marked", "open_markup", "open_rows", "hash",
         F.when(three, F.xxhash64(at(-3), at(-2), at(-1))).alias("k3"),
         F.when(three, F.xxhash64(at(-3), at(-2))).alias("k2"),
         F.when(three, F.array(stop("."), stop("?"), stop("。"))).alias("stops"),
@@ -155,8 +155,11 @@ def cut_blocks(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
         F.first(F.when(F.col("prose"), F.col("head")), True).over(Window.partitionBy("page_id").orderBy("pos", "block_id").rowsBetween(1, Window.unboundedFollowing)),
     )
     tail, head = F.col("tail"), F.col("next_head")
-    stopped = rows.groupBy("label").agg(F.avg(F.col("ended").cast("int")).alias("share")).where("share >= 0.5").select("label")
-    open_ends = follow.where("not ended and k3 is not null and kind = 'prose'").join(stopped, "label", "left_semi").select(
+    stopped = rows.groupBy("label").agg(F.avg(F.col("ended").cast("int")).alias("share")).where("share >= 0.5")
+    stopped = [r["label"] for r in stopped.collect()]  # labels are a closed list
+    # text that is open although its kind usually ends with a sentence
+    suspect = F.coalesce(~F.col("ended") & F.col("k3").isNotNull() & F.col("label").isin(stopped), F.lit(False))
+    open_ends = follow.where(suspect).select(
         "block_id", "prose", "n_words",
         F.concat(F.transform("stops", lambda k: F.struct(F.lit("stop").alias("role"), k.alias("key"))), F.array(
             F.struct(F.lit("k3").alias("role"), F.col("k3").alias("key")),
@@ -190,27 +193,37 @@ def cut_blocks(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     dims = sources.select("source_id", "api_id").dropDuplicates(["source_id"]).join(
         apis.select("api_id", "max_tokens").dropDuplicates(["api_id"]), "api_id", "left"
     )
-    limits = dims.join(length_limits(rows), "source_id", "left").drop("api_id")
-    full = rows.join(limits, "source_id", "left").join(evidence, "block_id", "left")
+    limits = materialize(dims.join(length_limits(rows), "source_id", "left").drop("api_id"), "limits")
+    none = F.array().cast("array<string>")
+    told = rows.drop("tail", "head", "stops", "k2", "hash", "n_words")
+    seen = materialize(told.where(suspect).drop("k3").join(evidence, "block_id", "left"), "evidence")
+    rest = told.where(~suspect).drop("k3").withColumns({"carried_on": F.lit(False), "evidence": none})
+    # open prose that something speaks against has to be prose, or a table, to count
+    against = F.col("prose") & ~F.col("ended") & (F.col("open_rows") | F.col("split_char") | (F.size(F.coalesce("evidence", none)) > 0))
+    doubtful = materialize(seen.where(against).unionByName(rest.where(against)), "doubtful")
+    texts = blocks.select("block_id", F.col("content").alias("t"), F.xxhash64("block_id").alias("key"))
+    texts = asked_only(texts, doubtful.select(F.xxhash64("block_id").alias("key"))).drop("key").join(doubtful.select("block_id"), "block_id", "left_semi")
+    kinds = quality.with_verdict(_with_core(texts.dropDuplicates(["block_id"]), "t", F.col("t")), "t").select("block_id", "kind")
+    plain = seen.where(~against).unionByName(rest.where(~against)).withColumn("kind", F.lit("prose"))
+    full = plain.unionByName(doubtful.join(kinds, "block_id", "left")).join(limits, "source_id", "left")
+    kind = F.coalesce("kind", F.lit("prose"))
     at_limit = (F.col("n_chars") == F.col("char_limit")) | (
         (F.col("n_bytes") <= F.col("byte_limit"))
         & (F.col("n_bytes") > F.col("byte_limit") - F.when(F.col("n_bytes") > F.col("n_chars"), 3).otherwise(1))
     )
     unfinished_mark = F.col("marked") & ~F.col("ended")
     go_on = F.coalesce(F.col("carried_on"), F.lit(False))
-    reasons = F.array_compact(
-        F.concat(
-            F.array(
-                F.when(at_limit, "length_limit"),
-                F.when(F.col("spent") >= F.col("max_tokens"), "max_tokens"),
-                F.when(unfinished_mark, "cut_mark"),
-                F.when(F.col("open_table"), "open_table"),
-                F.when(F.col("split_char"), "split_character"),
-            ),
-            F.when(go_on, F.array().cast("array<string>")).otherwise(F.coalesce("evidence", F.array().cast("array<string>"))),
-        )
-    )
-    return full.select("block_id", "source_id", reasons.alias("reasons")).withColumn("cut", F.size("reasons") > 0)
+    no = lambda test: F.coalesce(test, F.lit(False))
+    shows = {
+        "length_limit": no(at_limit), "max_tokens": no(F.col("spent") >= F.col("max_tokens")), "cut_mark": unfinished_mark,
+        "open_table": F.col("open_markup") | (F.col("open_rows") & (~F.col("prose") | (kind == "table"))), "split_character": F.col("split_char") & (kind == "prose"),
+    }
+    speaks = ~go_on & (kind == "prose")
+    reasons = F.array_compact(F.concat(F.array(*[F.when(v, k) for k, v in shows.items()]), F.when(speaks, F.coalesce("evidence", none)).otherwise(none)))
+    cut = speaks & (F.size(F.coalesce("evidence", none)) > 0)
+    for v in shows.values():
+        cut = cut | v
+    return full.select("block_id", "source_id", reasons.alias("reasons"), cut.alias("cut"))
 
 
 def source_shares(cuts: DataFrame) -> DataFrame:
