@@ -40,16 +40,16 @@ def p1_stretches(spark: SparkSession, base: str) -> DataFrame:
     return out.withColumn("confidence", F.round("confidence", 4)).dropDuplicates(["rec_kind", "rec_id", "seq"])
 
 
-def _cuts(spark: SparkSession, base: str) -> DataFrame:
-    return truncation.cut_blocks(*(table(spark, base, t) for t in ("blocks", "sources", "api_configs")), PROSE)
+def _block_tables(spark: SparkSession, base: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, base, t) for t in ("blocks", "sources", "api_configs"))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return _cuts(spark, base).where("cut").select("block_id")
+    return truncation.deliveries(*_block_tables(spark, base), PROSE).where("cut").select("block_id").distinct()
 
 
 def p2_sources(spark: SparkSession, base: str) -> DataFrame:
-    return truncation.source_shares(_cuts(spark, base))
+    return truncation.source_shares(truncation.cut_blocks(*_block_tables(spark, base), PROSE))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

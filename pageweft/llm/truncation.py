@@ -145,15 +145,24 @@ def length_limits(rows: DataFrame) -> DataFrame:
 
 
 def cut_blocks(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: list[str]) -> DataFrame:
-    """One row for each block with text: block_id, source_id, cut, reasons.
+    """One row for each block with text: block_id, source_id, cut, reasons; a block delivered again counts once, and is cut
+    if a delivery is. See ``deliveries``."""
+    rows = deliveries(blocks, sources, apis, prose)
+    best = F.max(F.struct("cut", "source_id", "reasons")).alias("b")
+    return rows.groupBy("block_id").agg(best).select("block_id", "b.source_id", "b.reasons", "b.cut")
 
-    Repeated deliveries count once. Null or empty texts and texts of fewer than three words can only be cut by a limit.
+
+def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: list[str]) -> DataFrame:
+    """block_id, source_id, reasons, cut of each delivered block with text.
+
+    Null or empty texts and texts of fewer than three words can only be cut by a limit.
     A null source, position or token count leaves out the rules that need it."""
-    rows = materialize(_features(blocks, prose).repartition("page_id").dropDuplicates(["page_id", "block_id"]), "ends")
-    follow = rows.withColumn(
-        "next_head",
-        F.first(F.when(F.col("prose"), F.col("head")), True).over(Window.partitionBy("page_id").orderBy("pos", "block_id").rowsBetween(1, Window.unboundedFollowing)),
-    )
+    rows = materialize(_features(blocks, prose), "ends")
+    after = Window.partitionBy("page_id").orderBy("pos").rangeBetween(1, Window.unboundedFollowing)  # past all deliveries of its own
+    follow = rows.where("prose").select("block_id", "page_id", "pos", "label", "prose", "ended", "k3", "k2", "stops", "tail", "head", "n_words")
+    follow = follow.withColumn("next_head", F.first("head", True).over(after))
+    lone = rows.where("not prose and not ended").select(*[c for c in follow.columns if c != "next_head"]).withColumn("next_head", F.lit(None).cast("array<string>"))
+    follow = follow.unionByName(lone)
     tail, head = F.col("tail"), F.col("next_head")
     stopped = rows.groupBy("label").agg(F.avg(F.col("ended").cast("int")).alias("share")).where("share >= 0.5")
     stopped = [r["label"] for r in stopped.collect()]  # labels are a closed list
@@ -169,7 +178,7 @@ def cut_blocks(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
         )).alias("keys"),
     )
     asked = open_ends.select("block_id", "prose", "n_words", F.explode("keys").alias("k")).select("block_id", "prose", "n_words", "k.role", "k.key").where("key is not null")
-    asked = materialize(asked, "asked")
+    asked = materialize(asked.distinct(), "asked")
     counts = trigram_counts(blocks.where("content is not null"), "content", asked.select("key"))
     known = asked.join(counts, "key", "left").fillna(0, ["inside", "at_end"])
     pick = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0))
