@@ -50,6 +50,7 @@ _END = re.compile(r"[.!?。？！…．][\"'”’»)\]]*(?:\s|$)|[。？！]")
 _SEPARATOR = re.compile(r"[,;/|·、，]\s|[、，]| - ")
 _SENTENCE = re.compile(r"(?<=[.!?:;…])[\"'”’»)\]]*\s+|(?<=[。？！；：．])|[\"“”„«»()\[\]]|\n")
 _WORD = re.compile(r"[^\W\d_]+")
+_MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _HAN, _CYRILLIC = re.compile(r"[㐀-鿿]"), re.compile(r"[Ѐ-ӿ]")
 
 
@@ -111,6 +112,8 @@ def prose_chunks(text: str) -> list[str]:
             if sum(bool(_BULLET.match(x)) for x in bare) >= max(2, 0.6 * len(bare)):
                 continue
             words = joined.count(" ") + 1
+            if 5 * len(_MIXED.findall(joined)) >= words + 5:  # codes rather than words
+                continue
             if not _END.search(joined) and not joined.endswith(":"):
                 if len(bare) >= 3 and words <= 6 * len(bare) and sum(map(len, bare[:-1])) < 30 * (len(bare) - 1):
                     continue
@@ -253,7 +256,7 @@ class Scorer:
                             starts.append(len(flat))
                             continue
                     n = len(words)
-                    if n < 2 or n > 11 and len(set(words)) * 3 < n:  # repetition
+                    if n < 2 or n > 5 and len(set(words)) * (3 if n > 11 else 2.5) <= n:  # repetition
                         continue
                     owner.append(t)
                     script.append(-1)

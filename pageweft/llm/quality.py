@@ -145,7 +145,7 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
         "junk:no_text": big & (s("n_letters") + s("n_digits") < 0.15 * body),
         "junk:wrong_decoding": big & (s("n_wrong") >= 0.3 * body) & (F.col("common_ratio") < 0.3),
         "junk:one_character": (body >= 20) & (s("n_first_char") >= 0.8 * body),
-        "junk:repetition": ((s("n_words") >= 8) & (s("n_pairs") < F.when(s("n_words") < 20, 0.6).otherwise(0.35) * F.least(s("n_words"), F.lit(200)))
+        "junk:repetition": ((s("n_words") >= 8) & (s("n_pairs") < F.when((s("n_words") < 20) & (s("n_distinct") <= 6), 0.6).otherwise(0.35) * F.least(s("n_words"), F.lit(200)))
         & (s("n_cells") < s("n_lines")) & (s("n_bullets") < 2)) | ((s("n_han") >= 24) & (distinct <= 0.2)),
         "junk:no_vowels": (s("n_words") >= 3) & (s("n_no_vowel") > 0.5 * latin_words) & (F.col("common_ratio") < 0.3),
         "junk:letter_digit_mix": (s("n_mixed") >= 3) & (s("n_mixed") >= 0.3 * (s("n_space") + 1)) & (F.col("common_ratio") < 0.3),
@@ -158,7 +158,7 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
         "list:short_lines": (s("n_lines") >= 3) & (spread <= 6) & (s("n_sentences") == 0) & (s("n_end_lines") == 0)
         & (F.col("common_ratio") < 0.4) & (s("n_code") < s("n_lines")),
         "list:enumeration": (s("n_lines") <= 2) & (s("n_separators") >= 4)
-        & ((s("n_sentences") == 0) | F.coalesce(F.col(text), F.lit("")).rlike(r"(?:…|\.\.\.)$"))
+        & ((s("n_sentences") == 0) | ((s("n_sentences") <= 1) & F.coalesce(F.col(text), F.lit("")).rlike(r"(?:…|\.\.\.)$")))
         & (s("n_words") < 5 * (s("n_separators") + 1)) & (F.col("common_ratio") < 0.4) & (s("n_code") <= 2),
     }
     out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()])))
