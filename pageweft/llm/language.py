@@ -172,8 +172,9 @@ def _grams(word: str) -> list[str]:
 
 
 def fit(records: DataFrame, per_language: int = 2500, max_words: int = 60000) -> Model:
-    """The word model, from at most about ``per_language`` labelled rows of each language chosen by a hash of their ids."""
-    labelled = records.where("declared is not null and length(text) >= 40")
+    """The word model, from at most about ``per_language`` labelled rows of each language chosen by a hash of their ids;
+    rows of 40 to 5,000 characters, so that the sample's size is bounded too."""
+    labelled = records.where("declared is not null and length(text) between 40 and 5000")
     n = {r["declared"]: r["n"] for r in records.groupBy("declared").agg(F.count("*").alias("n")).collect() if r["declared"]}
     u = F.pmod(F.xxhash64("rec_kind", "rec_id"), F.lit(1_000_003)) / 1_000_003.0
     keep = F.lit(False)
