@@ -1,6 +1,6 @@
 """Problem 2: texts that lost their end, and how often each source cuts.
 
-Word trigrams are counted inside texts and at text ends over the whole table, with built-in expressions only. A text is
+Word trigrams are counted inside texts and at text ends over the distinct texts of the whole table, with built-in expressions only. A text is
 cut when its final trigram is frequent inside texts yet almost never ends one, when its last word leaves a frequent word
 pair unfinished, when prose stops without a sentence end at words that end no other text, when a limit shows (its source's lengths pile up at a maximum in characters or bytes, or the recogniser
 stopped at the instance's max_tokens), when a cut mark follows an unfinished sentence, or when table markup is left
@@ -25,6 +25,9 @@ PAGE_LINE = r"\n[\s\-–—\[(]*(?:\p{L}{1,7}\.?\s+)?(?:[0-9]{1,4}|[ivxlc]{1,8})
 MIN_INSIDE, MIN_PAIR = 3, 10
 #: The share of a trigram's or pair's places that may be ends if ends count as almost never.
 END_SHARE = 0.03
+#: The share of a pair's places at which texts may break off with the same third word, which a running title exceeds; and
+#: how many may anyway.
+BREAK_SHARE, BREAKS = 0.01, 2
 #: Characters at a text's end that are searched for marks and page leftovers.
 WINDOW = 240
 #: Bits of the map of asked keys: 1 MiB.
@@ -74,14 +77,28 @@ def trigram_counts(texts: DataFrame, text: str, asked: DataFrame | None = None)
     return rows.groupBy("key").agg(F.count(F.when(~end, 1)).alias("inside"), F.count(F.when(end, 1)).alias("at_end"))
 
 
-def asked_only(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows whose key falls on a bit of the asked keys' map: at most BITMAP_BITS / 64 cells are broadcast."""
+def distinct_texts(blocks: DataFrame, rows: DataFrame, prose: list[str]) -> DataFrame:
+    """t: each text of ``blocks`` that may have three words once, however often it was delivered, and prose however often
+    it was copied; a header says the same on every page, and each of its blocks counts. ``rows`` has block_id, prose and hash
+    of each delivered text; only texts that may be there again are shuffled, told by a bitmap of fixed size."""
+    key = lambda is_prose, text: F.when(is_prose, text).otherwise(F.xxhash64("block_id", text)).alias("key")
+    again = rows.select(key(F.col("prose"), F.col("hash"))).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    texts = blocks.where(F.length("content") >= 5)
+    texts = texts.select(F.col("content").alias("t"), key(F.coalesce(F.col("label").isin(prose), F.lit(False)), F.xxhash64("content")))
+    repeated = asked_only(texts, again).dropDuplicates(["key"])
+    return asked_only(texts, again, False).unionByName(repeated).select("t")
+
+
+def asked_only(rows: DataFrame, asked: DataFrame, on: bool = True) -> DataFrame:
+    """The rows whose key falls on a bit of the asked keys' map, or not ``on`` one: at most BITMAP_BITS / 64 cells are
+    broadcast."""
     slot = lambda k: F.pmod(k.bitwiseXOR(F.shiftrightunsigned(k, 29)), F.lit(BITMAP_BITS))
     bits = asked.select(slot(F.col("key")).alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__cell"))
     bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(__slot & 63 as int)))").alias("__bits"))
     near = rows.withColumn("__slot", slot(F.col("key"))).withColumn("__cell", F.shiftright("__slot", 6))
-    near = near.join(F.broadcast(bits), "__cell")
-    return near.where(F.getbit("__bits", F.col("__slot").bitwiseAND(F.lit(63)).cast("int")) == 1).drop("__cell", "__bits", "__slot")
+    near = near.join(F.broadcast(bits), "__cell", "inner" if on else "left")
+    bit = F.getbit("__bits", F.col("__slot").bitwiseAND(F.lit(63)).cast("int"))
+    return near.where(F.coalesce(bit, F.lit(0)) == int(on)).drop("__cell", "__bits", "__slot")
 
 
 def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
@@ -179,7 +196,7 @@ def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     )
     asked = open_ends.select("block_id", "prose", "n_words", F.explode("keys").alias("k")).select("block_id", "prose", "n_words", "k.role", "k.key").where("key is not null")
     asked = materialize(asked.distinct(), "asked")
-    counts = trigram_counts(blocks.where("content is not null"), "content", asked.select("key"))
+    counts = trigram_counts(distinct_texts(blocks, rows, prose), "t", asked.select("key"))
     known = asked.join(counts, "key", "left").fillna(0, ["inside", "at_end"])
     pick = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0))
     seen = known.groupBy("block_id", "prose", "n_words").agg(
@@ -191,7 +208,9 @@ def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     whole = F.col("stop_in") + F.col("stop_end") >= F.greatest(F.lit(1), F.col("in3") * 0.05)  # ends so, but for the full stop
     unfinished = (F.col("in3") >= MIN_INSIDE) & rarely("in3", "end3") & ~whole
     pair_open = (F.col("in2") >= MIN_PAIR) & rarely("in2", "end2") & ~whole
-    open_sentence = F.col("prose") & (F.col("n_words") >= 6) & (F.col("end3") <= 2) & ~whole
+    # a share of the first two words' places, so that it grows with the table as the ends do
+    seldom = F.col("end3") <= F.greatest(F.lit(BREAKS), BREAK_SHARE * (F.col("in2") + F.col("end2")))
+    open_sentence = F.col("prose") & (F.col("n_words") >= 6) & seldom & ~whole
     evidence = seen.select(
         "block_id",
         (F.col("over") >= 2).alias("carried_on"),

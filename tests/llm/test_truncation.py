@@ -50,3 +50,26 @@ def test_trigram_counts_against_brute_force(spark):
                 a, b = want.get(k, (0, 0))
                 want[k] = (a + (i < len(w) - 3), b + (i == len(w) - 3))
     assert got == sorted(want.values())
+
+
+def test_open_sentence_counts_texts_and_grows_with_the_table(spark):
+    noted = lambda i: "".join(chr(97 + int(d)) for d in str(i))  # noqa: E731 - a word of its own for each text
+    rows = [(i, i, 0, "text", 9, None, f"{noted(i)} {BODY}", 0) for i in range(1000, 1450)]
+    # four different texts break off at each of these places: too often for a constant or for the pair
+    stems = ["c", "cr", "cro", "cros", "crossi"]
+    cut = [(i, i, 0, "text", 9, None, f"{noted(i)} {BODY.split(' crossing')[0]} {stems[i % 5]}", 0) for i in range(2000, 2020)]
+    # one block delivered four times and four copies of a text, each cut within a word
+    again = [(1, 1, 0, "text", 9, None, "Whoever waits for a replacement lamp may see the harb", 0)] * 4
+    copies = [(i, i, 0, "text", 9, None, "Everybody agrees on how a small pump wears the gask", 0) for i in range(10, 14)]
+    got = _run(spark, rows + cut + again + copies)
+    assert {k for k, v in got.items() if v[0]} == {r[0] for r in cut + again + copies}
+    assert all("open_sentence" in got[r[0]][1] for r in cut + again + copies)
+
+
+def test_distinct_texts(spark):
+    a, b, c = "one two three", "four five six", "one two four"
+    texts = [(1, "text", a), (1, "text", a), (2, "text", a), (3, "text", b), (4, "text", None), (5, "text", ""), (6, "header", c), (6, "header", c), (7, "header", c), (8, None, c)]
+    df = spark.createDataFrame(texts, "block_id long, label string, content string")
+    rows = df.where("content <> ''").selectExpr("block_id", "coalesce(label = 'text', false) as prose", "xxhash64(content) as hash")
+    assert sorted(r.t for r in truncation.distinct_texts(df, rows, ["text"]).collect()) == sorted([a, b, c, c, c])
+    assert truncation.distinct_texts(df.limit(0), rows.limit(0), ["text"]).count() == 0
