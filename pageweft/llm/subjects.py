@@ -13,13 +13,14 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
 from . import glyphs
 
-#: Terms kept (by document frequency) and dimensions: these bound what the driver and each task hold.
+#: Terms embedded (the most frequent of each language) and dimensions: these bound what the driver and each task hold. All
+#: other terms of at least MIN_DF documents are counted and weighted too, by joins.
 MAX_TERMS, DIMENSIONS, MIN_DF = 40_000, 32, 3
 #: Labelled documents used as seeds, at most.
 MAX_SEEDS = 20_000
@@ -97,8 +98,9 @@ def document_frequencies(docs: DataFrame, text: str, group: str) -> DataFrame:
     return by_group.groupBy("term").agg(F.sum("df").alias("df"), main.alias("main"))
 
 
-def _indexed(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
-    """id, sents: each document's sentences as arrays of term numbers."""
+def _indexed(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int], blank: int | None = None) -> DataFrame:
+    """id, sents: each document's sentences as arrays of term numbers. Sentences without a term are left out or, with
+    ``blank``, hold that number."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -107,12 +109,35 @@ def _indexed(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int]
         get = shared.value.get
         for b in batches:
             rows = [[[i for x in s if (i := get(x)) is not None] for s in sentences(t)] for t in b.column(1).to_pylist()]
-            rows = [[s for s in r if s] for r in rows]
+            rows = [[s for s in r if s] if blank is None else [s or [blank] for s in r] for r in rows]
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["id", "sents"])
 
     return docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, "id long, sents array<array<int>>")
 
 
+def _occurrences(docs: DataFrame, id_col: str, text: str, vocabulary: dict[str, int], tail: DataFrame) -> DataFrame:
+    """id, s, key, grp, n: how often the sentence number s of a document holds a term of ``tail`` (key, grp); a repeated
+    document counts once."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows: list[tuple] = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, s in enumerate(sentences(t)):
+                    rows += [(d, i, x, n) for x, n in Counter(s).items() if x not in shared.value]
+            cols = [*zip(*rows)] or [[], [], [], []]
+            yield pa.record_batch(
+                [pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32()))], names=["id", "s", "term", "n"]
+            )
+
+    places = docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, "id long, s int, term string, n int")
+    places = places.select("id", "s", F.xxhash64("term").alias("key"), "n").join(tail, "key")
+    return places.dropDuplicates(["id", "s", "key"])
+
+
 def _flat(batch, step: int = 500):
     """Of each ``step`` documents: first row, term numbers, starts of sentences among them, sentences of each document."""
     for at in range(0, batch.num_rows, step):
@@ -142,9 +167,10 @@ def _embedded(batch, idf: np.ndarray, basis: np.ndarray, group: np.ndarray):
         if not len(full):
             continue
         owner = np.repeat(np.arange(len(full)), size[full])
-        votes = np.bincount(owner * groups + group[terms], minlength=len(full) * groups).reshape(-1, groups)
+        told = idf[terms] >= 0  # the blank term says nothing
+        votes = np.bincount((owner * groups + group[terms])[told], minlength=len(full) * groups).reshape(-1, groups)
         main = votes.argmax(1)
-        w = np.where(group[terms] == main[owner], idf[terms], 0.0)
+        w = np.where((group[terms] == main[owner]) & told, idf[terms], 0.0)
         norm = np.sqrt(np.add.reduceat(w * w, ends[full]))
         w = (w / np.maximum(norm, 1e-9)[owner]).astype("float32")
         yield at, full, main, owner, terms, w, np.add.reduceat(basis[terms] * w[:, None], ends[full], 0)
@@ -184,7 +210,9 @@ def _gram_times(table: DataFrame, idf: np.ndarray, q: np.ndarray, group: np.ndar
 
     sums = table.mapInArrow(run, "term int, v array<float>").repartition("term").mapInArrow(add, "term int, v array<float>")
     out = np.zeros(q.shape)
-    for t, v in sums.toPandas().itertuples(index=False):
+    got = sums.toPandas()
+    shared.destroy()  # the driver keeps no model of an earlier pass
+    for t, v in got.itertuples(index=False):
         out[t] += v
     return out
 
@@ -234,6 +262,7 @@ def _centres(table: DataFrame, idf: np.ndarray, vectors: np.ndarray, group: np.n
 
     parts = table.mapInArrow(run, "i int, v array<double>")  # a few numbers for each task
     sums = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    shared.destroy()
     out = np.zeros(groups * subjects * (vectors.shape[1] + 1))
     out[sums["i"].to_numpy(int)] = sums["x"].to_numpy(float)
     out = out.reshape(groups, subjects, -1)
@@ -270,12 +299,15 @@ def refine(table: DataFrame, seeds: DataFrame, idf: np.ndarray, vectors: np.ndar
 class Areas:
     """Centroids of the subjects, one in each language, and weights of the terms."""
 
-    def __init__(self, counts: np.ndarray, idf: np.ndarray, vectors: np.ndarray, group: np.ndarray):
+    def __init__(self, counts: np.ndarray, idf: np.ndarray, vectors: np.ndarray, group: np.ndarray, more: np.ndarray | float = 0.0):
+        """``more``: counts of terms that aren't embedded, by group and subject."""
         n = counts.sum(1)
         subjects = counts.shape[1]
         base = np.full((group.max(initial=0) + 1, subjects), 1.0)
         np.add.at(base, group, counts)
+        base += more
         base /= base.sum(1, keepdims=True)
+        self.base = base
         usual = base[group]  # how the subjects share the text of a term's language
         unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         share = (counts + CAUTION * usual) / (n + CAUTION)[:, None]
@@ -289,12 +321,16 @@ class Areas:
         # a term's place among the subjects: its own counts as far as they go, else its cosines to the centroids
         place = (counts + CAUTION * (0.5 * usual + 0.5 * near)) / (n + CAUTION)[:, None]
         self.gain = (_surprise(place, usual)[:, None] * np.log(place / usual)).astype("float32")
+        self.gain[idf < 0] = 0
 
-    def judge(self, terms: np.ndarray, starts: np.ndarray, lead: float) -> np.ndarray:
-        """The subject of each sentence, -1 where none leads by ``lead``."""
+    def judge(self, terms: np.ndarray, starts: np.ndarray, lead: float, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The subject of each sentence, -1 where none leads by ``lead``. ``more``: sentences and what terms that aren't
+        embedded add to them."""
         if len(starts) < 2:
             return np.zeros(0, int)
         gain = np.add.reduceat(self.gain[terms], starts[:-1], 0)
+        if more is not None:
+            gain[more[0]] += more[1]
         top = np.partition(gain, gain.shape[1] - 2, 1) if gain.shape[1] > 1 else np.hstack([np.zeros_like(gain), gain])
         return np.where((top[:, -1] - top[:, -2] >= lead) & (top[:, -1] >= lead / 4), gain.argmax(1), -1)
 
@@ -323,8 +359,8 @@ def _counted(table: DataFrame, idf: np.ndarray, vectors: np.ndarray, group: np.n
                     ok = s >= 0  # in any language: a quotation mostly shares its document's subject
                     np.add.at(total, (terms[ok], s[ok]), 1.0)
             else:
-                for _, terms, starts, _ in _flat(b):
-                    s = np.repeat(judge.judge(terms, starts, lead), np.diff(starts))
+                for at, terms, starts, n in _flat(b):
+                    s = np.repeat(judge.judge(terms, starts, lead, _added(b, at, n, subjects)), np.diff(starts))
                     np.add.at(total, (terms[s >= 0], s[s >= 0]), 1.0)
         t, s = np.nonzero(total)
         yield pa.record_batch([pa.array(t.astype("int32")), pa.array(s.astype("int32")), pa.array(total[t, s].astype("float64"))], names=["term", "subject", "n"])
@@ -332,10 +368,86 @@ def _counted(table: DataFrame, idf: np.ndarray, vectors: np.ndarray, group: np.n
     sums = table.mapInArrow(run, "term int, subject int, n double").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     out = np.zeros((size, subjects))
     got = sums.toPandas()
+    shared.destroy()
     out[got["term"].to_numpy(int), got["subject"].to_numpy(int)] = got["n"].to_numpy(float)
     return out
 
 
+def _added(batch, at: int, n: np.ndarray, subjects: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of the documents from row ``at`` with ``n`` sentences each: numbers of the sentences with terms that aren't embedded,
+    and what these add to the subjects; None where the table has no such column."""
+    column = batch.schema.get_field_index("added")
+    if column < 0:
+        return None
+    first = np.concatenate([[0], np.cumsum(n)])
+    rows = [(first[i] + x["s"], x["g"]) for i, d in enumerate(batch.slice(at, len(n)).column(column).to_pylist()) for x in d or []]
+    return np.array([r[0] for r in rows], int), np.array([r[1] for r in rows], "float32").reshape(-1, subjects)
+
+
+class Tail:
+    """Counts and gains of the terms that aren't embedded, kept as tables and joined by term and sentence.
+
+    Such a term has no vector, so that its own counts against its language's usual ones are its whole evidence."""
+
+    def __init__(self, table: DataFrame, places: DataFrame, groups: int, subjects: int):
+        self.groups, self.subjects, self.places = groups, subjects, materialize(places, "places")
+        held = self.places.groupBy("id").agg(F.collect_set("s").alias("tails"))
+        self.table = materialize(table.join(held, "id", "left"), "terms")
+
+    def counted(self, table: DataFrame, idf, vectors, group, mean, centre, areas: Areas | None, lead: float) -> tuple[DataFrame, np.ndarray]:
+        """key, grp, subject, n as ``_counted`` has them of embedded terms, and their sums by group and subject."""
+        shared = table.sparkSession.sparkContext.broadcast((idf.astype("float32"), vectors.astype("float32"), group, mean, centre, areas))
+        subjects = self.subjects
+
+        def run(batches):
+            import pyarrow as pa
+
+            weight, basis, grp, middle, near, judge = shared.value
+            for b in batches:
+                ids, tails = b.column(b.schema.get_field_index("id")).to_pylist(), b.column(b.schema.get_field_index("tails")).to_pylist()
+                out: list[tuple] = []
+                if judge is None:
+                    for at, full, main, _, _, _, y in _embedded(b, weight, basis, grp):
+                        for row, x in zip(full + at, _nearest(y, main, middle, near)):
+                            out += [(ids[row], s, x) for s in tails[row] or [] if x >= 0]
+                else:
+                    for at, terms, starts, n in _flat(b):
+                        found = judge.judge(terms, starts, lead, _added(b, at, n, subjects))
+                        first = np.concatenate([[0], np.cumsum(n)])
+                        for i in range(len(n)):
+                            out += [(ids[at + i], s, x) for s in tails[at + i] or [] if (x := found[first[i] + s]) >= 0]
+                cols = [*zip(*out)] or [[], [], []]
+                yield pa.record_batch([pa.array(np.array(c, k)) for c, k in zip(cols, ("int64", "int32", "int32"))], names=["id", "s", "subject"])
+
+        told = table.where("tails is not null").mapInArrow(run, "id long, s int, subject int").dropDuplicates(["id", "s"])
+        counts = self.places.join(told, ["id", "s"]).groupBy("key", "grp", "subject").agg(F.sum("n").cast("double").alias("n"))
+        counts = materialize(counts, "tail")
+        shared.destroy()
+        sums = np.zeros((self.groups, subjects))
+        for r in counts.groupBy("grp", "subject").agg(F.sum("n").alias("n")).collect():  # groups by subjects
+            sums[r["grp"], r["subject"]] = r["n"]
+        return counts, sums
+
+    def added(self, counts: DataFrame, base: np.ndarray) -> DataFrame:
+        """The table with ``added``: of each sentence with such terms what they add to the subjects, by ``Areas``' rule."""
+        each = range(self.subjects)
+        wide = counts.groupBy("key", "grp").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("subject") == i, F.col("n"))), F.lit(0.0)) for i in each]).alias("c"))
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if b.num_rows:
+                    c, usual = np.array(b.column(2).to_pylist()), base[b.column(1).to_numpy()]
+                    place = (c + CAUTION * usual) / (c.sum(1) + CAUTION)[:, None]
+                    gain = _surprise(place, usual)[:, None] * np.log(place / usual)
+                    yield pa.record_batch([b.column(0), pa.array([*gain], pa.list_(pa.float64()))], names=["key", "g"])
+
+        gains = wide.select("key", "grp", "c").mapInArrow(run, "key long, g array<double>")
+        rows = self.places.join(gains, "key").groupBy("id", "s").agg(F.array(*[F.sum(F.col("n") * F.col("g")[i]) for i in each]).alias("g"))
+        return materialize(self.table.join(rows.groupBy("id").agg(F.collect_list(F.struct("s", "g")).alias("added")), "id", "left"), "added")
+
+
 def _weights(df: np.ndarray, group: np.ndarray, pair: list[bool]) -> np.ndarray:
     """Squared inverse document frequency within the term's language; pairs of words don't shape the embedding."""
     most = np.zeros(int(group.max()) + 1)
@@ -357,13 +469,24 @@ def subject_sentences(docs: DataFrame, labels: DataFrame, subjects: list[str], l
     Null, empty and blank texts have none; rows that repeat a document count once. Without any label of a known document
     no subject can be told and the result is empty."""
     known = docs.select(id_col, text, lang.alias("main_lang")).where(F.col(text).isNotNull())
-    df = document_frequencies(known, text, "main_lang")
-    kept = df.where(F.col("df") >= MIN_DF).orderBy(F.desc("df"), "term").limit(MAX_TERMS).toPandas()
+    df = materialize(document_frequencies(known, text, "main_lang").where(F.col("df") >= MIN_DF), "frequencies")
+    # the same share for each language; what one doesn't need is left to the others
+    rank = F.row_number().over(Window.partitionBy("main").orderBy(F.desc("df"), "term"))
+    kept = df.withColumn("rank", rank).where(F.col("rank") <= MAX_TERMS).orderBy("rank", "main").limit(MAX_TERMS).drop("rank").toPandas()
+    kept = kept.sort_values(["df", "term"], ascending=[False, True], ignore_index=True)
     vocabulary = {t: i for i, t in enumerate(kept["term"])}
     groups = sorted(set(kept["main"]))
     group = np.array([groups.index(g) for g in kept["main"]], int) if len(kept) else np.zeros(1, int)
     idf = _weights(kept["df"].to_numpy(float), group, [" " in t for t in kept["term"]]) if len(kept) else np.zeros(1)
-    table = materialize(_indexed(known, id_col, text, vocabulary), "terms")
+    tail = None
+    if df.count() > len(kept):
+        blank = len(kept)  # stands for sentences whose terms aren't embedded, in a group of its own
+        group, idf = np.append(group, len(groups)), np.append(idf, -1.0)
+        number = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i))])
+        embedded = docs.sparkSession.createDataFrame(kept[["term"]], "term string")
+        rest = df.join(embedded, "term", "left_anti").select(F.xxhash64("term").alias("key"), number[F.col("main")].alias("grp"))
+        tail = Tail(_indexed(known, id_col, text, vocabulary, blank), _occurrences(known, id_col, text, vocabulary, rest), len(groups) + 1, len(subjects))
+    table = tail.table if tail else materialize(_indexed(known, id_col, text, vocabulary), "terms")
     names = {s: i for i, s in enumerate(subjects)}
     index = docs.sparkSession.createDataFrame([*names.items()] or [("", 0)], "subject string, subject_id int")
     given = agreed_labels(labels).join(F.broadcast(index), "subject").groupBy(F.col("doc_id").alias("id"))
@@ -371,9 +494,12 @@ def subject_sentences(docs: DataFrame, labels: DataFrame, subjects: list[str], l
     seeds = table.join(given, "id")
     vectors = term_vectors(table, idf, group)
     mean, centre = refine(table, seeds, idf, vectors, group, len(names))
-    areas = Areas(_counted(table, idf, vectors, group, len(names), mean, centre, None, 0.0), idf, vectors, group)
-    for lead in LEADS[:-1]:
-        areas = Areas(_counted(table, idf, vectors, group, len(names), mean, centre, areas, lead), idf, vectors, group)
+    areas, added = None, table
+    for lead in (0.0, *LEADS[:-1]):
+        counts = _counted(added, idf, vectors, group, len(names), mean, centre, areas, lead)
+        more, sums = tail.counted(added, idf, vectors, group, mean, centre, areas, lead) if tail else (None, 0.0)
+        areas = Areas(counts, idf, vectors, group, sums)
+        added = tail.added(more, areas.base) if tail else table
     shared = docs.sparkSession.sparkContext.broadcast(areas)
 
     def run(batches):
@@ -384,7 +510,7 @@ def subject_sentences(docs: DataFrame, labels: DataFrame, subjects: list[str], l
             for at, terms, starts, n in _flat(b):
                 if len(starts) < 2:
                     continue
-                found = shared.value.judge(terms, starts, LEADS[-1])
+                found = shared.value.judge(terms, starts, LEADS[-1], _added(b, at, n, len(subjects)))
                 owner = np.repeat(np.arange(len(n)), n)
                 hits = np.zeros((len(n), len(subjects)), int)
                 np.add.at(hits, (owner[found >= 0], found[found >= 0]), 1)
@@ -394,5 +520,5 @@ def subject_sentences(docs: DataFrame, labels: DataFrame, subjects: list[str], l
                     names=["doc_id", "subject", "n_sentences"],
                 )
 
-    out = table.mapInArrow(run, "doc_id long, subject string, n_sentences int")
+    out = added.mapInArrow(run, "doc_id long, subject string, n_sentences int")
     return out.groupBy("doc_id", "subject").agg(F.max("n_sentences").alias("n_sentences"))

@@ -45,3 +45,32 @@ def test_agreed_labels(spark):
     rows = [(1, "a", 1), (1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 2), (2, "c", 3), (3, None, 1)]
     lab = spark.createDataFrame(rows + rows[:1], "doc_id long, subject string, rater int")
     assert {tuple(x) for x in subjects.agreed_labels(lab).collect()} == {(1, "a"), (1, "b")}
+
+
+def test_terms_that_are_not_embedded_count(spark, monkeypatch):
+    r = random.Random(5)
+    names = sorted(NOUNS)
+    rare = {"cooking": "colander ladle".split(), "law": "affidavit usufruct".split(), "sport": "javelin pommel".split()}
+    docs, truth = [], {}
+    for i in range(600):
+        s = names[i % 3]
+        if i < 540:
+            docs.append((i, f"{_doc(r, s, 4)} The {r.choice(rare[s])} belongs to the {r.choice(NOUNS[s])}.", "en"))
+        else:  # nothing but terms beyond the most frequent ones tells the subject
+            a, b = rare[s]
+            docs.append((i, f"Nobody told me that the {a} would affect the {b}. The {b} and the {a} are easy to confuse.", "en"))
+            truth[i] = {s}
+    docs += [(1000 + i, "Наречие сосед погода. Сосед погода наречие.", "ru") for i in range(4)]
+    d = spark.createDataFrame([*docs, *docs[540:560]], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, names[i % 3], 1) for i in range(120)], "doc_id long, subject string, rater int")
+
+    def found():
+        out = subjects.subject_sentences(d, lab, names, language.declared(F.col("lang"))).where("n_sentences >= 2").collect()
+        got = {}
+        for x in out:
+            got.setdefault(x.doc_id, set()).add(x.subject)
+        return sum(got.get(i) == truth[i] for i in truth)
+
+    assert found() >= 0.95 * len(truth)
+    monkeypatch.setattr(subjects, "MAX_TERMS", 66)
+    assert found() >= 0.95 * len(truth)
