@@ -3,8 +3,8 @@
 Word trigrams are counted inside texts and at text ends over the distinct texts of the whole table, with built-in expressions only. A text is
 cut when its final trigram is frequent inside texts yet almost never ends one, when its last word leaves a frequent word
 pair unfinished, when prose stops without a sentence end at words that end no other text, when a limit shows (its source's lengths pile up at a maximum in characters or bytes, or the recogniser
-stopped at the instance's max_tokens), when a cut mark follows an unfinished sentence, or when table markup is left
-open. A text that the next prose block of the page carries on is not cut.
+stopped at the instance's max_tokens), when a cut mark follows an unfinished sentence, when table markup is left open, or
+when the short last row of a table aligned by blanks ends within a cell that other tables have whole. A text that the next prose block of the page carries on is not cut.
 """
 
 from __future__ import annotations
@@ -113,11 +113,14 @@ def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
     table = (F.col("label") == "table") | F.col("prose")
     first_line, last_line = F.substring_index(core, "\n", 1), F.substring_index(core, "\n", -1)
     cells = lambda line: F.regexp_count(line, F.lit(r"[;,\t]"))
+    gaps = lambda line: F.regexp_count(F.trim(line), F.lit(r" {2,}"))  # noqa: E731 - cells aligned by blanks
     open_markup = core.contains("<t") & F.lower(core).contains("<table") & ~F.lower(core).contains("</table>")
     open_rows = F.when(
         table & ~F.col("ended"),
         (first_line.rlike(r"^\s*\|") & ~last_line.rlike(r"\|\s*$")) | ((cells(first_line) >= 2) & (cells(last_line) < cells(first_line))),
     ).otherwise(F.lit(False))
+    short_row = table & ~F.col("ended") & core.contains("  ") & (gaps(first_line) >= 1) & (gaps(last_line) < gaps(first_line))
+    short_row = F.coalesce(short_row & F.trim(last_line).rlike(r"\p{L}$"), F.lit(False))
     open_end = ~F.col("ended")
     # three words at the end, two at the start
     tail = F.substring(core, F.greatest(F.length(core) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
@@ -131,10 +134,11 @@ def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
         F.xxhash64(t).alias("hash"), F.length(t).alias("n_chars"), F.octet_length(F.rtrim(t, F.lit("\ufffd"))).alias("n_bytes"),
         (t.endswith("\ufffd") & F.col("prose")).alias("split_char"),
         F.substring(t, F.greatest(F.length(t) - 12, F.lit(0)) + 1, F.lit(13)).rlike(CUT_MARK).alias("marked"),
-        open_markup.alias("open_markup"), open_rows.alias("open_rows"), "w", "h",
+        open_markup.alias("open_markup"), open_rows.alias("open_rows"),
+        F.when(short_row, F.regexp_extract(F.trim(last_line), r"(?:^|  )((?:(?!  ).)+)$", 1)).alias("last_cell"), "w", "h",
     )
     return out.select(
-        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "n_chars", "n_bytes", "split_char", "marked", "open_markup", "open_rows", "hash",
+        "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "n_chars", "n_bytes", "split_char", "marked", "open_markup", "open_rows", "last_cell", "hash",
         F.when(three, F.xxhash64(at(-3), at(-2), at(-1))).alias("k3"),
         F.when(three, F.xxhash64(at(-3), at(-2))).alias("k2"),
         F.when(three, F.array(stop("."), stop("?"), stop("。"))).alias("stops"),
@@ -144,6 +148,22 @@ def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
     )
 
 
+def open_cells(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block_id, hash of the tables whose short last row ends in a cell that isn't whole: no other row has this cell, but
+    another has one that goes on from it within the word. A row that merely leaves cells empty ends in a whole cell."""
+    ask = rows.where("last_cell is not null").select("block_id", "hash", "last_cell").distinct()
+    lines = blocks.where((F.col("label") == "table") & F.col("content").contains("  ")).select(F.xxhash64("content").alias("text"), F.explode(F.split("content", "\n")).alias("line"))
+    cell = lines.select("text", F.explode(F.split(F.trim("line"), " {2,}")).alias("cell")).where(F.col("cell").rlike(r"^\p{L}.*\p{L}$"))
+    cell = cell.groupBy("cell").agg(F.countDistinct("text").alias("n"))  # a text counts once, however often delivered or copied
+    starts = cell.select("cell", "n", F.explode(F.sequence(F.lit(1), F.length("cell"))).alias("k"))
+    starts = starts.select(F.substring("cell", F.lit(1), F.col("k")).alias("last_cell"), "n", (F.col("k") == F.length("cell")).alias("whole"),
+        F.substring("cell", F.col("k") + 1, F.lit(1)).rlike(r"\p{L}").alias("within"))
+    known = ask.join(starts, "last_cell").groupBy("block_id", "hash", "last_cell").agg(
+        F.coalesce(F.sum(F.when(F.col("whole"), F.col("n"))), F.lit(0)).alias("same"), F.coalesce(F.sum(F.when(F.col("within"), F.col("n"))), F.lit(0)).alias("longer")
+    )
+    return known.where((F.col("longer") >= MIN_INSIDE) & (F.col("same") <= BREAK_SHARE * F.col("longer") + BREAKS)).select("block_id", "hash").distinct()
+
+
 def length_limits(rows: DataFrame) -> DataFrame:
     """source_id, char_limit, byte_limit: the lengths at which a source's texts pile up, null where none shows."""
 
@@ -175,6 +195,8 @@ def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     Null or empty texts and texts of fewer than three words can only be cut by a limit.
     A null source, position or token count leaves out the rules that need it."""
     rows = materialize(_features(blocks, prose), "ends")
+    cells = open_cells(rows, blocks).withColumn("open_cell", F.lit(True))
+    rows = materialize(rows.join(cells, ["block_id", "hash"], "left").withColumn("open_rows", F.col("open_rows") | F.coalesce("open_cell", F.lit(False))).drop("open_cell", "last_cell"), "rows")
     after = Window.partitionBy("page_id").orderBy("pos").rangeBetween(1, Window.unboundedFollowing)  # past all deliveries of its own
     follow = rows.where("prose").select("block_id", "page_id", "pos", "label", "prose", "ended", "k3", "k2", "stops", "tail", "head", "n_words")
     follow = follow.withColumn("next_head", F.first("head", True).over(after))

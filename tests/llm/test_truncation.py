@@ -73,3 +73,11 @@ def test_distinct_texts(spark):
     rows = df.where("content <> ''").selectExpr("block_id", "coalesce(label = 'text', false) as prose", "xxhash64(content) as hash")
     assert sorted(r.t for r in truncation.distinct_texts(df, rows, ["text"]).collect()) == sorted([a, b, c, c, c])
     assert truncation.distinct_texts(df.limit(0), rows.limit(0), ["text"]).count() == 0
+
+
+def test_short_last_row_of_an_aligned_table(spark):
+    row = lambda i: f"training plan   {i}.5%   {i * 7}\nice hockey      {i * 3}   n/a"
+    rows = [(i, i, 0, "table", 9, None, row(i), 0) for i in range(100, 130)]
+    rows += [(1, 1, 0, "table", 9, None, row(1) + "\ntraining pl", 0)] * 4  # within a word, delivered again
+    rows += [(2, 2, 0, "table", 9, None, row(2) + "\ntraining plan", 0), (3, 3, 0, "table", 9, None, row(3) + "\nZamholm", 0)]  # cells left empty
+    assert {k: v[1] for k, v in _run(spark, rows).items() if v[0]} == {1: ["open_table"]}
