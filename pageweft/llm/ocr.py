@@ -27,14 +27,17 @@ CONFUSIONS = [
 ]
 #: Cost of a confusion (any other edit costs 1), the highest cost of a repair, and how much more frequent it must be.
 CONFUSION_COST, MAX_COST, MIN_RATIO = 0.25, 0.8, 20.0
-#: A word seen this often may serve as a repair; a shorter one may not.
-MIN_COUNT, MIN_LENGTH = 20, 3
+#: Words shorter than this are left as they are.
+MIN_LENGTH = 3
 
 WORD = r"[\p{L}\p{M}0-9@$]*\p{L}(?:[\p{L}\p{M}0-9@$|!]*[\p{L}0-9@$])?"
 BREAK = r"(?<![\p{L}\p{N}])(\p{L}+)([-‐¬\x{AD}])[^\S\n]*\n\s*(\p{Ll}\p{L}*|\p{Lu}+)(?![\p{L}\p{N}])"
 AT_END = r"[-‐¬\x{AD}][^\S\n]*\n"
 JOIN = r"(\p{L})[-‐¬\x{AD}][^\S\n]*\n\s*(?=\p{L})"
-NUMBER_LINE = r"(?m)^[\s\-–—\[(]*(?:\p{L}{1,7}\.?[^\S\n]+)?(?:[0-9]{1,4}|[ivxlc]{1,8})(?:[^\S\n]*[/(][^\S\n]*[0-9]{1,4}[^\S\n]*\)?)?[^\S\n\p{L}\p{N}]*$"
+NUMBER_LINE = (
+    r"(?m)^[\s\-–—\[(]*(?:\p{L}{1,7}\.?[^\S\n]+|第[^\S\n]*)?(?:[0-9]{1,9}|[ivxlcdm]{1,15})(?:[^\S\n]*[/(][^\S\n]*[0-9]{1,9}[^\S\n]*\)?|[^\S\n]*页(?:，共[^\S\n]*[0-9]{1,9}[^\S\n]*页)?)?"
+    r"(?:[^\S\n]|[\-–—\])])*$"
+)
 TITLE_LABELS = ["doc_title", "paragraph_title", "figure_title"]
 
 
@@ -47,10 +50,12 @@ def _fold(word: Column) -> Column:
 
 
 def _edits(word: Column) -> Column:
-    """The folded word and, from five characters on, the folded word less one character."""
+    """The folded word, with pairs of letters folded and without, and, from five characters on, the folded word less one
+    character."""
     k = _fold(word)
+    single = F.translate(F.translate(word, "01!|5$6892@473", "olllssbbgzaate"), "iqchuvf", "lgebnnt")
     less = F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))
-    return F.array_distinct(F.when(F.length(k) >= 5, F.concat(F.array(k), less)).otherwise(F.array(k)))
+    return F.array_distinct(F.when(F.length(k) >= 5, F.concat(F.array(k, single), less)).otherwise(F.array(k, single)))
 
 
 _COSTS: dict[tuple[str, str], float] = {}
@@ -114,12 +119,14 @@ def lexicon(texts: DataFrame) -> DataFrame:
 def candidates(pairs: DataFrame) -> DataFrame:
     """word, repair, cost, n_repair: for each rare word the frequent words that a few confusions turn into it."""
     words = materialize(pairs.groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") >= MIN_LENGTH), "words")
-    frequent = words.where((F.col("n") >= MIN_COUNT) & ~F.col("word").rlike(r"[0-9@$|!]")).select(
+    # a repair is MIN_RATIO times as frequent as its misreading, so that nothing rarer can be one, nor misread more often
+    frequent = words.where((F.col("n") >= MIN_RATIO) & ~F.col("word").rlike(r"[0-9@$|!]")).select(
         F.col("word").alias("repair"), F.col("n").alias("n_repair"), F.explode(_edits(F.col("word"))).alias("key")
     )
-    rare = words.select("word", "n", F.explode(_edits(F.col("word"))).alias("key"))
+    most = words.agg((F.max("n") / MIN_RATIO).alias("most")).scalar()
+    read = (F.col("n") <= most) & (3 * F.length(F.regexp_replace("word", r"[^0-9]", "")) <= F.length("word"))  # else a part number
+    rare = words.where(read).select("word", "n", F.explode(_edits(F.col("word"))).alias("key"))
     both = rare.join(frequent, "key").where((F.col("word") != F.col("repair")) & (F.col("n_repair") >= MIN_RATIO * F.col("n")))
-    both = both.where(3 * F.length(F.regexp_replace("word", r"[^0-9]", "")) <= F.length("word"))  # else a part number
     both = both.where(F.abs(F.length("word") - F.length("repair")) <= 2).select("word", "repair", "n_repair").distinct()
     cost = F.arrow_udf(_distances, "double")(F.col("word"), F.col("repair"))
     # a change of case, accent or ending is no confusion of shapes: it costs 1 and is left out
@@ -178,7 +185,7 @@ def header_lines(texts: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataF
     heads = blocks.where("label = 'header' and content is not null").select("page_id", F.explode(_parts(F.col("content"))).alias("part"))
     heads = materialize(heads.join(of_page, "page_id").select("file", "part").distinct(), "headers")
     lines = texts.where(F.col("text").contains("\n")).select("field", "rec_id", "page_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where((F.length("line") >= 4) & (F.length("line") < 250) & ~F.col("line").rlike(r"[.!?:。？！]\s*$|^\s*[|#]|[0-9%]$"))
+    lines = lines.where((F.length("line") >= 4) & ~F.col("line").rlike(r"[.!?:。？！]\s*$|^\s*[|#]|[0-9%]$"))
     lines = lines.withColumn("part", F.explode(F.array(_longest(_parts(F.col("line")))))).where("part is not null")
     keyed = truncation.asked_only(lines.withColumn("key", F.xxhash64("part")), heads.select(F.xxhash64("part").alias("key")))
     lines = materialize(keyed.drop("key").join(of_page, "page_id", "left").withColumn("file", F.coalesce("file", F.concat(F.lit("page "), F.col("page_id").cast("string")))), "lines")
@@ -190,11 +197,12 @@ def header_lines(texts: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataF
     return found.select("field", "rec_id", "line").distinct()
 
 
-def _roman(limit: int = 400) -> dict[str, int]:
+def _roman(limit: int = 4000) -> dict[str, int]:
+    """All numbers that Roman digits can write without signs of their own for thousands."""
     out = {}
     for n in range(1, limit):
         text, left = "", n
-        for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
             text += sign * (left // value)
             left %= value
         out[text] = n
@@ -207,9 +215,9 @@ def number_lines(texts: DataFrame, pages: DataFrame) -> DataFrame:
     rows = texts.where(F.col("text").contains("\n")).select(
         "field", "rec_id", "page_id", F.explode(F.regexp_extract_all("text", F.lit(NUMBER_LINE), F.lit(0))).alias("line")
     )
-    first = F.regexp_extract("line", r"(?:^|[\s\-–—\[(])([0-9]{1,4}|[ivxlc]{1,8})(?![\p{L}0-9])", 1)
+    first = F.regexp_extract("line", r"(?:^|[\s\-–—\[(第])([0-9]{1,9}|[ivxlcdm]{1,15})(?=[^\p{L}0-9]|页|$)", 1)
     rows = rows.withColumn("number", first).where("number <> ''")
-    roman = spark.createDataFrame([*_roman().items()], "number string, value int")  # 399 rows
+    roman = spark.createDataFrame([*_roman().items()], "number string, value int")  # 3,999 rows
     rows = rows.join(F.broadcast(roman), "number", "left").withColumn("value", F.coalesce("value", F.expr("try_cast(number as int)")))
     number = pages.select("page_id", F.col("page_no").alias("value")).dropDuplicates(["page_id"])
     return rows.join(number, ["page_id", "value"], "left_semi").select("field", "rec_id", "line").distinct()

@@ -30,8 +30,8 @@ END_SHARE = 0.03
 BREAK_SHARE, BREAKS = 0.01, 2
 #: Characters at a text's end that are searched for marks and page leftovers.
 WINDOW = 240
-#: Bits of the map of asked keys: 1 MiB.
-BITMAP_BITS = 1 << 23
+#: Bits for each key in a map of asked keys, and the most that a map may have: 8 MiB.
+BITS_PER_KEY, MAX_BITS = 16, 1 << 26
 #: A length limit shows when its pile is this many texts and this many times the usual count of a length below it.
 PILE, PILE_RATIO = 5, 8.0
 
@@ -62,16 +62,20 @@ def _with_core(df: DataFrame, name: str, text: Column) -> DataFrame:
 def trigram_counts(texts: DataFrame, text: str, asked: DataFrame | None = None) -> DataFrame:
     """key, inside, at_end: counts of trigrams and of their first pairs over all ``texts``, by hash.
 
-    With ``asked`` (a column key) only keys that fall on a bit of theirs are counted: a bitmap of fixed size spares the
-    shuffle of keys that nobody asks for and changes no count of the asked ones."""
+    With ``asked`` (a column key) only keys that fall on a bit of theirs are counted: the map spares the shuffle of keys
+    that nobody asks for and changes no count of the asked ones."""
     rows = _with_core(texts.select(F.col(text).alias("t")), "t", F.col("t"))
     rows = _with_words(rows, "w", F.col("t")).select("w").where(F.size("w") >= 3)
     rows = rows.select("w", F.posexplode("w").alias("i", "a")).where(F.col("i") + 2 < F.size("w"))
     b, c = F.get("w", F.col("i") + 1), F.get("w", F.col("i") + 2)
-    rows = rows.select(
-        (F.col("i") + 3 == F.size("w")).alias("end"), F.explode(F.array(F.xxhash64("a", b, c), F.xxhash64("a", b))).alias("key")
-    )
-    if asked is not None:
+    rows = rows.select((F.col("i") + 3 == F.size("w")).alias("end"), F.xxhash64("a", b, c).alias("k3"), F.xxhash64("a", b).alias("k2"))
+    known = None if asked is None else bitmap(asked)
+    if known:
+        rows = rows.where(on_bit(F.col("k3"), known) | on_bit(F.col("k2"), known))
+    rows = rows.select("end", F.explode(F.array("k3", "k2")).alias("key"))
+    if known:
+        rows = rows.where(on_bit(F.col("key"), known))
+    elif asked is not None:
         rows = asked_only(rows, asked)
     end = F.col("end")
     return rows.groupBy("key").agg(F.count(F.when(~end, 1)).alias("inside"), F.count(F.when(end, 1)).alias("at_end"))
@@ -80,25 +84,49 @@ def trigram_counts(texts: DataFrame, text: str, asked: DataFrame | None = None)
 def distinct_texts(blocks: DataFrame, rows: DataFrame, prose: list[str]) -> DataFrame:
     """t: each text of ``blocks`` that may have three words once, however often it was delivered, and prose however often
     it was copied; a header says the same on every page, and each of its blocks counts. ``rows`` has block_id, prose and hash
-    of each delivered text; only texts that may be there again are shuffled, told by a bitmap of fixed size."""
+    of each delivered text; only texts that may be there again are shuffled."""
     key = lambda is_prose, text: F.when(is_prose, text).otherwise(F.xxhash64("block_id", text)).alias("key")
     again = rows.select(key(F.col("prose"), F.col("hash"))).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = materialize(again, "again")
     texts = blocks.where(F.length("content") >= 5)
     texts = texts.select(F.col("content").alias("t"), key(F.coalesce(F.col("label").isin(prose), F.lit(False)), F.xxhash64("content")))
     repeated = asked_only(texts, again).dropDuplicates(["key"])
     return asked_only(texts, again, False).unionByName(repeated).select("t")
 
 
+def _slot(key: Column, bits: int) -> Column:
+    return F.pmod(key.bitwiseXOR(F.shiftrightunsigned(key, 29)), F.lit(bits))
+
+
+def bitmap(asked: DataFrame) -> tuple[Column, int] | None:
+    """A map of the asked keys as an array of longs, for ``on_bit``, and its size in bits: BITS_PER_KEY for each key. None
+    where that is more than MAX_BITS; then only a join can tell."""
+    n = asked.count()
+    bits = max(1 << 12, 1 << (BITS_PER_KEY * n - 1).bit_length() if n else 0)
+    if bits > MAX_BITS:
+        return None
+    cell = asked.select(_slot(F.col("key"), bits).alias("slot"))
+    cell = cell.select(F.shiftright("slot", 6).alias("cell"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bits"))
+    zero = asked.sparkSession.range(bits // 64).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bits"))
+    cell = cell.unionByName(zero).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    rows = F.array_sort(F.collect_list(F.struct("cell", "bits")))  # bits / 64 of them, in one row
+    return cell.agg(F.transform(rows, lambda x: x["bits"]).alias("map")).scalar(), bits
+
+
+def on_bit(key: Column, known: tuple[Column, int]) -> Column:
+    """Whether the key falls on a bit of the map: true of every asked key, and of few others."""
+    slot = _slot(key, known[1])
+    return F.getbit(F.get(known[0], F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def asked_only(rows: DataFrame, asked: DataFrame, on: bool = True) -> DataFrame:
-    """The rows whose key falls on a bit of the asked keys' map, or not ``on`` one: at most BITMAP_BITS / 64 cells are
-    broadcast."""
-    slot = lambda k: F.pmod(k.bitwiseXOR(F.shiftrightunsigned(k, 29)), F.lit(BITMAP_BITS))
-    bits = asked.select(slot(F.col("key")).alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__cell"))
-    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(__slot & 63 as int)))").alias("__bits"))
-    near = rows.withColumn("__slot", slot(F.col("key"))).withColumn("__cell", F.shiftright("__slot", 6))
-    near = near.join(F.broadcast(bits), "__cell", "inner" if on else "left")
-    bit = F.getbit("__bits", F.col("__slot").bitwiseAND(F.lit(63)).cast("int"))
-    return near.where(F.coalesce(bit, F.lit(0)) == int(on)).drop("__cell", "__bits", "__slot")
+    """The rows that a map of the asked keys lets through (every asked one, and few others), or not ``on`` those it doesn't.
+    With more keys than a map may hold, the rows that have or not ``on`` haven't an asked key, by a join."""
+    known = bitmap(asked)
+    if known is None:
+        return rows.join(asked.select("key").distinct(), "key", "left_semi" if on else "left_anti")
+    hit = F.coalesce(on_bit(F.col("key"), known), F.lit(False))
+    return rows.where(hit if on else ~hit)
 
 
 def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
