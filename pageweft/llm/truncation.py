@@ -19,6 +19,7 @@ from . import quality
 CUT_MARK = r"\s*(?:(?:…|\.{3})+|\[more\]|\[\.{3}\]|\[…\]|\(more\))$"
 ENDED = r"[.!?。？！:：．…)\]>|][\"'”’»]*\s*$"
 TITLE_LINE = r"(?s)^(.*[.!?。？！:：．][\"'”’»)\]]*\s*\n)(?:[^\n\p{Ll}]{8,}|[^\n]{3,80} [|—] [^\n]{3,80})$"
+LAST_LINE = r"^(?:[\s\-–—\[(]*(?:\p{L}{1,7}\.?\s+)?(?:[0-9]{1,4}|[ivxlc]{1,8})(?:\s*[/(]\s*[0-9]{1,4}\s*\)?)?[\s\-–—\])]*|[^\p{Ll}]{8,}|.{3,80} [|—] .{3,80})$"
 PAGE_LINE = r"\n[\s\-–—\[(]*(?:\p{L}{1,7}\.?\s+)?(?:[0-9]{1,4}|[ivxlc]{1,8})(?:\s*[/(]\s*[0-9]{1,4}\s*\)?)?[\s\-–—\])]*$"
 
 #: A trigram inside texts this often is frequent; a pair needs more, as its third word is open.
@@ -30,8 +31,8 @@ END_SHARE = 0.03
 BREAK_SHARE, BREAKS = 0.01, 2
 #: Characters at a text's end that are searched for marks and page leftovers.
 WINDOW = 240
-#: Bits for each key in a map of asked keys, and the most that a map may have: 8 MiB.
-BITS_PER_KEY, MAX_BITS = 16, 1 << 26
+#: Bits for each key in a map of asked keys, and the least and the most that a map may have: 128 KiB and 8 MiB.
+BITS_PER_KEY, MIN_BITS, MAX_BITS = 32, 1 << 20, 1 << 26
 #: A length limit shows when its pile is this many texts and this many times the usual count of a length below it.
 PILE, PILE_RATIO = 5, 8.0
 
@@ -42,8 +43,9 @@ def _with_words(df: DataFrame, name: str, text: Column) -> DataFrame:
     df = quality.fence(df, "__flat", {"t": flat})
     t = F.col("__flat.t")
     df = quality.fence(df, "__flat", {"t": F.when(t.contains("00"), F.regexp_replace(t, "00+", "0")).otherwise(t)}, replace=True)
-    spaced = F.when(t.rlike(r"\p{IsHan}"), F.regexp_replace(t, r"([\p{IsHan}，。？！；：、])", "$1 ")).otherwise(t)
-    return quality.fence(df, "__words", {"w": F.split(spaced, " ")}).withColumn(name, F.col("__words.w")).drop("__flat", "__words")
+    spaced = F.regexp_replace(t, r" *([\p{IsHan}，。？！；：、]) *", " $1 ")
+    words = F.when(t.rlike(r"\p{IsHan}"), F.array_remove(F.split(spaced, " "), "")).otherwise(F.split(t, " "))
+    return quality.fence(df, "__words", {"w": words}).withColumn(name, F.col("__words.w")).drop("__flat", "__words")
 
 
 def _with_core(df: DataFrame, name: str, text: Column) -> DataFrame:
@@ -52,7 +54,8 @@ def _with_core(df: DataFrame, name: str, text: Column) -> DataFrame:
     size = F.greatest(F.length(text) - WINDOW, F.lit(0))
     df = quality.fence(df, "__cut", {"start": F.substring(text, F.lit(1), size), "end": F.substring(text, size + 1, F.lit(WINDOW))})
     start, end = F.col("__cut.start"), F.col("__cut.end")
-    body = F.when(end.contains("\n"), F.regexp_replace(F.regexp_replace(end, PAGE_LINE, ""), TITLE_LINE, "$1")).otherwise(end)
+    last = F.substring_index(F.rtrim(end, F.lit(" \n\t\r")), "\n", -1)
+    body = F.when(end.contains("\n") & last.rlike(LAST_LINE), F.regexp_replace(F.regexp_replace(end, PAGE_LINE, ""), TITLE_LINE, "$1")).otherwise(end)
     df = quality.fence(df, "__cut", {"start": start, "end": body}, replace=True)
     mark = F.length(F.regexp_extract(F.substring(end, F.greatest(F.length(end) - 16, F.lit(0)) + 1, F.lit(17)), CUT_MARK, 0))
     whole = F.concat(start, F.rtrim(F.substring(end, F.lit(1), F.length(end) - mark)))
@@ -94,18 +97,19 @@ def distinct_texts(blocks: DataFrame, rows: DataFrame, prose: list[str]) -> Data
     return asked_only(texts, again, False).unionByName(repeated).select("t")
 
 
-def _slot(key: Column, bits: int) -> Column:
-    return F.pmod(key.bitwiseXOR(F.shiftrightunsigned(key, 29)), F.lit(bits))
+def _slots(key: Column, bits: int) -> list[Column]:
+    """Two places of a key in a map of 2^k bits: of the low and of the high half of its hash."""
+    return [F.shiftrightunsigned(key, n).bitwiseAND(F.lit(bits - 1)) for n in (0, 32)]
 
 
 def bitmap(asked: DataFrame) -> tuple[Column, int] | None:
     """A map of the asked keys as an array of longs, for ``on_bit``, and its size in bits: BITS_PER_KEY for each key. None
     where that is more than MAX_BITS; then only a join can tell."""
     n = asked.count()
-    bits = max(1 << 12, 1 << (BITS_PER_KEY * n - 1).bit_length() if n else 0)
+    bits = max(MIN_BITS, 1 << (BITS_PER_KEY * n - 1).bit_length() if n else 0)
     if bits > MAX_BITS:
         return None
-    cell = asked.select(_slot(F.col("key"), bits).alias("slot"))
+    cell = asked.select(F.explode(F.array(*_slots(F.col("key"), bits))).alias("slot"))
     cell = cell.select(F.shiftright("slot", 6).alias("cell"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bits"))
     zero = asked.sparkSession.range(bits // 64).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bits"))
     cell = cell.unionByName(zero).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
@@ -114,9 +118,9 @@ def bitmap(asked: DataFrame) -> tuple[Column, int] | None:
 
 
 def on_bit(key: Column, known: tuple[Column, int]) -> Column:
-    """Whether the key falls on a bit of the map: true of every asked key, and of few others."""
-    slot = _slot(key, known[1])
-    return F.getbit(F.get(known[0], F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    """Whether both bits of the key are in the map: true of every asked key, and of few others."""
+    bit = [F.getbit(F.get(known[0], F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1 for s in _slots(key, known[1])]
+    return bit[0] & bit[1]
 
 
 def asked_only(rows: DataFrame, asked: DataFrame, on: bool = True) -> DataFrame:
@@ -150,13 +154,15 @@ def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
     short_row = table & ~F.col("ended") & core.contains("  ") & (gaps(first_line) >= 1) & (gaps(last_line) < gaps(first_line))
     short_row = F.coalesce(short_row & F.trim(last_line).rlike(r"\p{L}$"), F.lit(False))
     open_end = ~F.col("ended")
-    # three words at the end, two at the start
-    tail = F.substring(core, F.greatest(F.length(core) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
-    src = _with_words(src, "w", F.when(open_end, tail))
-    src = _with_words(src, "h", F.when(F.col("prose"), F.substring(core, F.lit(1), F.lit(WINDOW // 2))))
+    # three words at the end, two at the start: looked for in the whole text where a part of it has too few
+    part = lambda p, n: F.when(p.rlike(rf"(?:[^\s\p{{IsHan}}]*[\s\p{{IsHan}}]){{{n}}}"), p).otherwise(core)
+    tail = F.substring(core, F.greatest(F.length(core) - WINDOW // 2, F.lit(0)) + 1, F.lit(WINDOW // 2))
+    src = _with_words(src, "w", F.when(open_end, part(tail, 8)))
+    src = _with_words(src, "h", F.when(F.col("prose"), part(F.substring(core, F.lit(1), F.lit(WINDOW // 4)), 4)))
     at = lambda i: F.try_element_at("w", F.lit(i))
     three = open_end & (F.size("w") >= 3)
     stop = lambda e: F.xxhash64(at(-3), at(-2), F.concat(at(-1), F.lit(e)))
+    han_stop = F.xxhash64(at(-2), at(-1), F.lit("。"))  # a word of its own
     out = src.select(
         "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended",
         F.xxhash64(t).alias("hash"), F.length(t).alias("n_chars"), F.octet_length(F.rtrim(t, F.lit("\ufffd"))).alias("n_bytes"),
@@ -169,7 +175,7 @@ def _features(blocks: DataFrame, prose: list[str]) -> DataFrame:
         "block_id", "page_id", "pos", "source_id", "label", "prose", "spent", "ended", "n_chars", "n_bytes", "split_char", "marked", "open_markup", "open_rows", "last_cell", "hash",
         F.when(three, F.xxhash64(at(-3), at(-2), at(-1))).alias("k3"),
         F.when(three, F.xxhash64(at(-3), at(-2))).alias("k2"),
-        F.when(three, F.array(stop("."), stop("?"), stop("。"))).alias("stops"),
+        F.when(three, F.array(stop("."), stop("?"), han_stop)).alias("stops"),
         F.when(open_end & (F.size("w") >= 2), F.array(at(-2), at(-1))).alias("tail"),
         F.size("w").alias("n_words"),
         F.when(F.col("prose") & (F.size("h") >= 2), F.array(F.col("h")[0], F.col("h")[1])).alias("head"),
@@ -223,8 +229,6 @@ def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     Null or empty texts and texts of fewer than three words can only be cut by a limit.
     A null source, position or token count leaves out the rules that need it."""
     rows = materialize(_features(blocks, prose), "ends")
-    cells = open_cells(rows, blocks).withColumn("open_cell", F.lit(True))
-    rows = materialize(rows.join(cells, ["block_id", "hash"], "left").withColumn("open_rows", F.col("open_rows") | F.coalesce("open_cell", F.lit(False))).drop("open_cell", "last_cell"), "rows")
     after = Window.partitionBy("page_id").orderBy("pos").rangeBetween(1, Window.unboundedFollowing)  # past all deliveries of its own
     follow = rows.where("prose").select("block_id", "page_id", "pos", "label", "prose", "ended", "k3", "k2", "stops", "tail", "head", "n_words")
     follow = follow.withColumn("next_head", F.first("head", True).over(after))
@@ -273,18 +277,13 @@ def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     )
     limits = materialize(dims.join(length_limits(rows), "source_id", "left").drop("api_id"), "limits")
     none = F.array().cast("array<string>")
-    told = rows.drop("tail", "head", "stops", "k2", "hash", "n_words")
+    told = rows.drop("tail", "head", "stops", "k2", "n_words")
+    cells = open_cells(rows, blocks).withColumn("open_cell", F.lit(True))
+    short = told.where("last_cell is not null").join(cells, ["block_id", "hash"], "left")
+    short = materialize(short.withColumn("open_rows", F.col("open_rows") | F.coalesce("open_cell", F.lit(False))).drop("open_cell"), "short")
+    told = told.where("last_cell is null").unionByName(short).drop("hash", "last_cell").join(limits, "source_id", "left")
     seen = materialize(told.where(suspect).drop("k3").join(evidence, "block_id", "left"), "evidence")
     rest = told.where(~suspect).drop("k3").withColumns({"carried_on": F.lit(False), "evidence": none})
-    # open prose that something speaks against has to be prose, or a table, to count
-    against = F.col("prose") & ~F.col("ended") & (F.col("open_rows") | F.col("split_char") | (F.size(F.coalesce("evidence", none)) > 0))
-    doubtful = materialize(seen.where(against).unionByName(rest.where(against)), "doubtful")
-    texts = blocks.select("block_id", F.col("content").alias("t"), F.xxhash64("block_id").alias("key"))
-    texts = asked_only(texts, doubtful.select(F.xxhash64("block_id").alias("key"))).drop("key").join(doubtful.select("block_id"), "block_id", "left_semi")
-    kinds = quality.with_verdict(_with_core(texts.dropDuplicates(["block_id"]), "t", F.col("t")), "t").select("block_id", "kind")
-    plain = seen.where(~against).unionByName(rest.where(~against)).withColumn("kind", F.lit("prose"))
-    full = plain.unionByName(doubtful.join(kinds, "block_id", "left")).join(limits, "source_id", "left")
-    kind = F.coalesce("kind", F.lit("prose"))
     at_limit = (F.col("n_chars") == F.col("char_limit")) | (
         (F.col("n_bytes") <= F.col("byte_limit"))
         & (F.col("n_bytes") > F.col("byte_limit") - F.when(F.col("n_bytes") > F.col("n_chars"), 3).otherwise(1))
@@ -292,8 +291,20 @@ def deliveries(blocks: DataFrame, sources: DataFrame, apis: DataFrame, prose: li
     unfinished_mark = F.col("marked") & ~F.col("ended")
     go_on = F.coalesce(F.col("carried_on"), F.lit(False))
     no = lambda test: F.coalesce(test, F.lit(False))
+    at_limit, spent = no(at_limit), no(F.col("spent") >= F.col("max_tokens"))
+    sure = at_limit | spent | unfinished_mark | F.col("open_markup")
+    # open prose that something speaks against has to be prose, or a table, to count; it is looked at where that decides
+    speaks = (F.size(F.coalesce("evidence", none)) > 0) & ~go_on
+    against = F.col("prose") & ~F.col("ended") & ~sure & (F.col("open_rows") | F.col("split_char") | speaks)
+    doubtful = materialize(seen.where(against).unionByName(rest.where(against)), "doubtful")
+    texts = blocks.select("block_id", F.col("content").alias("t"), F.xxhash64("block_id").alias("key"))
+    texts = asked_only(texts, doubtful.select(F.xxhash64("block_id").alias("key"))).drop("key").join(doubtful.select("block_id"), "block_id", "left_semi")
+    kinds = quality.with_verdict(_with_core(texts.dropDuplicates(["block_id"]), "t", F.col("t")), "t").select("block_id", "kind")
+    plain = seen.where(~against).unionByName(rest.where(~against)).withColumn("kind", F.lit("prose"))
+    full = plain.unionByName(doubtful.join(kinds, "block_id", "left"))
+    kind = F.coalesce("kind", F.lit("prose"))
     shows = {
-        "length_limit": no(at_limit), "max_tokens": no(F.col("spent") >= F.col("max_tokens")), "cut_mark": unfinished_mark,
+        "length_limit": at_limit, "max_tokens": spent, "cut_mark": unfinished_mark,
         "open_table": F.col("open_markup") | (F.col("open_rows") & (~F.col("prose") | (kind == "table"))), "split_character": F.col("split_char") & (kind == "prose"),
     }
     speaks = ~go_on & (kind == "prose")
