@@ -93,6 +93,11 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode(table(spark, base, "documents"))
 
 
+def p6_texts(spark: SparkSession, base: str) -> DataFrame:
+    """The texts behind p6_ids: what SQL reads from the table."""
+    return tokens.decode(p6_ids(spark, base))
+
+
 def _filled(spark: SparkSession, base: str) -> DataFrame:
     kinds = table(spark, base, "containers")
     names = sorted(r["tokenizer"] for r in kinds.select("tokenizer").distinct().collect())  # a fixed list
@@ -124,8 +129,8 @@ def p8_composition(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p7_containers, p7_report, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p6_texts, p7_containers, p7_report, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_texts": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents"}

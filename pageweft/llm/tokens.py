@@ -1,16 +1,18 @@
 """Problem 6: the whole corpus as ids of a public tokenizer.
 
-Texts are cut into pre-tokens in the JVM. Equal pre-tokens are gathered over the whole corpus, each distinct one is
-encoded once, its ids are joined back, and every document is put together by position. The most frequent words, at most
-``head`` of them, are encoded first and broadcast; the rest meets its ids in a shuffled join, where no word is hot any
-more.
+Texts are cut into pre-tokens in the JVM, once, and written as one array for each document. Equal pre-tokens are gathered
+over the whole corpus, each distinct one is encoded once, its ids are joined back, and every document is put together by
+position. The most frequent words, at most ``head`` of them, are broadcast, so that they reach their documents without a
+shuffle; the rest meets its ids in a shuffled join, where no word is hot any more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 # White space as Unicode defines it, and the pre-token pattern of byte-level BPE.
 _S = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PRETOKEN = (
@@ -48,18 +50,17 @@ def _with_ids(words: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         enc = bpe(path)
+        one = getattr(enc, "_encode_single_piece", enc.encode_ordinary)  # a pre-token isn't cut again
         for b in batches:
-            col = b.column("word")
-            ids = [enc._encode_single_piece(w) if w else [] for w in col.to_pylist()]
-            yield pa.record_batch([col, pa.array(ids, pa.list_(pa.int32()))], names=["word", "word_ids"])
+            ids = [one(w) if w else [] for w in b.column(0).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), b.column(1)], names=["word", "word_ids", "n"])
 
-    return words.select("word").mapInArrow(run, "word string, word_ids array<int>")
+    return words.select("word", "n").mapInArrow(run, "word string, word_ids array<int>, n long")
 
 
-def pretokens(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, pos, word: one row for each pre-token."""
-    words = F.regexp_extract_all(F.col(text), F.lit(PRETOKEN), F.lit(0))
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "word"))
+def pretokens(text: Column) -> Column:
+    """The pre-tokens of a text in order."""
+    return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, head: int = 20000) -> DataFrame:
@@ -67,18 +68,20 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     ordinary text. An empty or null text has an empty list. Ids must be unique; a row repeated whole counts once."""
     path = path or tokenizer_path(TOKENIZER + ".tiktoken")
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+    cut = materialize(src.where("t is not null and t <> ''").select("id", pretokens(F.col("t")).alias("words")), "words")
+    counts = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    known = materialize(_with_ids(counts, path), "vocabulary")  # each distinct word once
+    top = known.orderBy(F.desc("n"), "word").limit(head).select("word", "word_ids")
+    frequent = F.broadcast(top)  # at most ``head`` rows
+    places = cut.select("id", F.posexplode("words").alias("pos", "word"))
+    part = F.concat(F.array("pos"), "word_ids").alias("p")  # sorts by position
+    near = places.join(frequent, "word").select("id", part)
+    far = places.join(frequent, "word", "left_anti")
     # a word's places within its document travel together
-    places = pretokens(src, "id", "t").groupBy("id", "word").agg(F.collect_set("pos").alias("at"))
-    counts = places.groupBy("word").agg(F.sum(F.size("at")).alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(head).select("word")
-    frequent = F.broadcast(_with_ids(top, path))  # at most ``head`` rows
-    split = places.join(frequent, "word", "left")
-    rare = split.where("word_ids is null").drop("word_ids")
-    rare = rare.join(_with_ids(rare.select("word").distinct(), path), "word")
-    done = split.where("word_ids is not null").unionByName(rare)
-    parts = done.select("id", F.explode("at").alias("pos"), "word_ids")
-    whole = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))).alias("p"))
-    ids = whole.select("id", F.flatten(F.col("p.word_ids")).alias("ids"))
+    far = far.groupBy("id", "word").agg(F.collect_list("pos").alias("at")).join(known.select("word", "word_ids"), "word")
+    far = far.select("id", F.explode("at").alias("pos"), "word_ids").select("id", part)
+    whole = near.unionByName(far).groupBy("id").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    ids = whole.select("id", F.flatten(F.transform("p", lambda x: F.slice(x, F.lit(2), F.size(x)))).alias("ids"))
     empty = src.where("t is null or t = ''").select("id", F.array().cast("array<int>").alias("ids")).distinct()
     return ids.unionByName(empty).withColumnRenamed("id", id_col)
 
