@@ -185,7 +185,11 @@ def header_lines(texts: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataF
     heads = blocks.where("label = 'header' and content is not null").select("page_id", F.explode(_parts(F.col("content"))).alias("part"))
     heads = materialize(heads.join(of_page, "page_id").select("file", "part").distinct(), "headers")
     lines = texts.where(F.col("text").contains("\n")).select("field", "rec_id", "page_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where((F.length("line") >= 4) & ~F.col("line").rlike(r"[.!?:。？！]\s*$|^\s*[|#]|[0-9%]$"))
+    # no header ends as a sentence or in a number, or is a table row or a heading
+    blank = F.lit(" \t\r\u00a0")
+    last, first = F.substring(F.rtrim("line", blank), -1, 1), F.substring(F.ltrim("line", blank), 1, 1)
+    other = last.isin(*".!?:。？！") | first.isin("|", "#") | F.substring("line", -1, 1).isin(*"0123456789%")
+    lines = lines.where((F.length("line") >= 4) & ~other)
     lines = lines.withColumn("part", F.explode(F.array(_longest(_parts(F.col("line")))))).where("part is not null")
     keyed = truncation.asked_only(lines.withColumn("key", F.xxhash64("part")), heads.select(F.xxhash64("part").alias("key")))
     lines = materialize(keyed.drop("key").join(of_page, "page_id", "left").withColumn("file", F.coalesce("file", F.concat(F.lit("page "), F.col("page_id").cast("string")))), "lines")
