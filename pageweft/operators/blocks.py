@@ -102,7 +102,7 @@ def emitted(blocks: DataFrame, non_merge: list[str], max_ratio: float = 3.0) ->
 
 
 def stacked(groups: DataFrame) -> DataFrame:
-    """page_id, head, i, x_off, y_off, canvas_w, canvas_h: where each crop of a group lies on its white canvas."""
+    """page_id, head, i, pos, x_off, y_off, canvas_w, canvas_h: where each crop of a group lies on its white canvas."""
     rows = groups.where(F.col("head").isNotNull()).groupBy("page_id", "head").agg(F.array_sort(F.collect_list(F.struct("pos", "crop_w", "crop_h", "link"))).alias("c"))
     state = F.struct(F.element_at("c", F.lit(1))["crop_w"].alias("w"), F.array(F.lit(0)).alias("x"))
 
@@ -119,4 +119,4 @@ def stacked(groups: DataFrame) -> DataFrame:
     h = F.col("b.c.crop_h")
     out = out.withColumn("y_off", F.coalesce(F.sum(h).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     out = out.withColumn("canvas_h", F.sum(h).over(Window.partitionBy("page_id", "head")).cast("int"))
-    return out.select("page_id", "head", "i", F.col("b.x").alias("x_off"), "y_off", "canvas_w", "canvas_h")
+    return out.select("page_id", "head", "i", F.col("b.c.pos").alias("pos"), F.col("b.x").alias("x_off"), "y_off", "canvas_w", "canvas_h")

@@ -37,6 +37,24 @@ def gathered(top: DataFrame, boxes: DataFrame) -> DataFrame:
     return top.join(boxes, ["page_id", "query"])
 
 
+def detection_order(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (page_id, rank, ord) with id from 0: by ord, nulls last, of equals the better rank first."""
+    w = Window.partitionBy("page_id").orderBy(F.asc_nulls_last("ord"), "rank")
+    return boxes.withColumn("id", F.row_number().over(w) - 1)
+
+
+def top_anchors(logits: DataFrame, n: int) -> DataFrame:
+    """page_id, rank, query: the ``n`` anchors of each page with the largest class logit; ties go to the smaller anchor."""
+    w = Window.partitionBy("page_id").orderBy(F.desc("best"), "query")
+    top = class_max(logits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return top.select("page_id", (F.col("rank") - 1).alias("rank"), "query")
+
+
+def mean_pool(planes: DataFrame) -> DataFrame:
+    """The mean of each channel's values (page_id, channel, value)."""
+    return planes.groupBy("page_id", "channel").agg(F.avg("value").alias("mean"))
+
+
 def class_max(logits: DataFrame) -> DataFrame:
     return logits.groupBy("page_id", "query").agg(F.max("logit").alias("best"))
 

@@ -21,12 +21,16 @@ def spans(tokens: DataFrame, token: int) -> DataFrame:
     return ends.select("seq_id", span.alias("span"), "start", "stop")
 
 
-def positions(tokens: DataFrame, grids: DataFrame, token: int, step: float = 0.0) -> DataFrame:
+def positions(tokens: DataFrame, grids: DataFrame, token: int, step: float = 0.0, first_only: bool = False) -> DataFrame:
     """seq_id, pos, t, h, w, status of each token: text counts on in all three; the k-th span of ``token`` takes the
     rows and columns of its grid (seq_id, span, grid_t, grid_h, grid_w) from where the text stopped, and frames that
     advance by ``step``; text goes on after the largest position used. status is 'mismatch' for a sequence whose spans
-    and grids differ in number or size, and its positions are null."""
-    sp = spans(tokens, token).join(grids, ["seq_id", "span"], "full")
+    and grids differ in number or size, and its positions are null. ``first_only``, as for a video: only the first span of
+    a sequence has a grid, and later placeholders count as text."""
+    found = spans(tokens, token)
+    if first_only:
+        found, grids = found.where("span = 0"), grids.where("span = 0")
+    sp = found.join(grids, ["seq_id", "span"], "full")
     size = F.col("grid_t") * F.col("grid_h") * F.col("grid_w")
     bad = sp.where(F.coalesce(F.col("stop") - F.col("start") != size, F.lit(True))).select("seq_id").distinct()
     frame = lambda t: F.floor(t * step).cast("int")
@@ -34,12 +38,13 @@ def positions(tokens: DataFrame, grids: DataFrame, token: int, step: float = 0.0
     sp = sp.select("seq_id", "start", "stop", "grid_h", "grid_w", reach.alias("reach"))
     at = tokens.join(sp, (tokens["seq_id"] == sp["seq_id"]) & (tokens["pos"] == sp["start"]), "left").select(tokens["seq_id"], "pos", "token", "start", "stop", "grid_h", "grid_w", "reach")
     past = in_sequence().rowsBetween(Window.unboundedPreceding, -1)
-    text = F.when(F.col("token") != token, 1).otherwise(0)
-    base = F.coalesce(F.sum(text + F.coalesce(F.col("reach"), F.lit(0))).over(past), F.lit(0))
     now = in_sequence().rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("inside", (F.col("token") == token) & (F.col("pos") < F.coalesce(F.last("stop", True).over(now), F.lit(0 if first_only else 1 << 62))))
+    text = F.when(F.col("inside"), 0).otherwise(1)
+    base = F.coalesce(F.sum(text + F.coalesce(F.col("reach"), F.lit(0))).over(past), F.lit(0))
     rows = at.withColumn("base", base).withColumn("g", F.last(F.when(F.col("start").isNotNull(), F.struct("start", "grid_h", "grid_w", "base")), True).over(now))
     k = F.col("pos") - F.col("g.start")
-    cell, vision = F.col("g.grid_h") * F.col("g.grid_w"), F.col("token") == token
+    cell, vision = F.col("g.grid_h") * F.col("g.grid_w"), F.col("inside")
     t = F.col("g.base") + frame(F.floor(k / cell))
     h = F.col("g.base") + F.floor((k % cell) / F.col("g.grid_w"))
     w = F.col("g.base") + (k % cell) % F.col("g.grid_w")
@@ -88,6 +93,35 @@ def decoded(tokens: DataFrame, eos: int, max_new: int) -> DataFrame:
     return rows.where(F.col("__i") <= max(max_new, 1)).drop("__end", "__i")
 
 
+def token_limit(asked: Column, model_limit: int) -> Column:
+    """How many tokens may be generated: what was asked for, as far as the model's own limit goes."""
+    return F.least(asked, F.lit(model_limit))
+
+
+def ids_before_end(ids: Column, eos: int) -> Column:
+    """The ids before the first end token; all where there is none."""
+    at = F.array_position(ids, F.lit(eos))
+    return F.when(at > 0, F.slice(ids, F.lit(1), (at - 1).cast("int"))).otherwise(ids)
+
+
+def trimmed(text: Column) -> Column:
+    """The text without white space, of any kind, at either end."""
+    return F.regexp_replace(text, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", "")
+
+
+def count_check(tokens: DataFrame, grids: DataFrame, token: int) -> DataFrame:
+    """seq_id, n_tokens, n_grid, n_spans, n_grids, status: placeholders against the cells of the grids (seq_id, span,
+    grid_t, grid_h, grid_w); 'mismatch' where a sequence's totals or any of its spans differ."""
+    cells = F.col("grid_t") * F.col("grid_h") * F.col("grid_w")
+    both = spans(tokens, token).join(grids.select("seq_id", "span", cells.alias("cells")), ["seq_id", "span"], "full")
+    n = F.col("stop") - F.col("start")
+    bad = F.max(F.when(n == F.col("cells"), 0).otherwise(1))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.groupBy("seq_id").agg(
+        none(n).alias("n_tokens"), none(F.col("cells")).alias("n_grid"), F.count("stop").alias("n_spans"), F.count("cells").alias("n_grids"), F.when(bad == 0, "ok").otherwise("mismatch").alias("status")
+    )
+
+
 def online_softmax(parts: DataFrame) -> DataFrame:
     """seq_id, value: softmax-weighted sum merged from tiles (m: maximum, s: sum of exp(x - m), o: weighted sum)."""
     top = F.max("m").over(Window.partitionBy("seq_id"))

@@ -90,36 +90,49 @@ def without_references(boxes: Column) -> Column:
 def overlap_filter(pages: DataFrame) -> DataFrame:
     """Drops references, tiny boxes and the smaller of two that overlap, in the given order. A tiny box may still drop a
     later one before it, and two inline formulas that overlap both go."""
-    return applied(pages, without_references, _overlap_fold)
+    return applied(pages, without_references, _measured, _with_clashes, _without_losers)
 
 
-def _overlap_fold(bx: Column) -> Column:
-    n = F.size(bx)
-    indices = lambda lo: F.when(lo <= n, F.sequence(lo, n)).otherwise(F.array().cast("array<int>"))
-    none = F.array().cast("array<int>")
+def _measured(boxes: Column) -> Column:
+    """The boxes with what the overlap rules ask of each."""
+    is_ = lambda test: F.coalesce(test, F.lit(False))
+    return F.transform(boxes, lambda b, i: F.struct(
+        (i + 1).alias("i"), b.alias("box"), G.area(b).alias("area"), is_(b["label"] == "inline_formula").alias("inline"), is_(b["label"].isin(L.OVERLAP_EXEMPT)).alias("exempt"),
+        ((b["x2"] - b["x1"] < TINY) | (b["y2"] - b["y1"] < TINY)).alias("tiny"),
+    ))
+
+
+def _with_clashes(boxes: Column) -> Column:
+    """The boxes beside what may drop them, in order: a tiny box itself (j = 0), and pairs i < j that overlap too much.
+    lose_i, lose_j: whom it drops."""
+    n = F.size(boxes)
+
+    def against(a: Column) -> Column:
+        later = F.slice(boxes, a["i"] + 1, n)
+        near = F.filter(later, lambda b: G.intersection(a["box"], b["box"]) > F.least(a["area"], b["area"]) * INLINE_OVERLAP)
+        near = F.filter(near, lambda b: F.when(a["inline"] | b["inline"], G.iomin(a["box"], b["box"]) > INLINE_OVERLAP).otherwise(
+            (G.iomin(a["box"], b["box"]) > DROP_OVERLAP) & ~F.coalesce((a["box"]["label"] != b["box"]["label"]) & a["exempt"] & b["exempt"], F.lit(False))
+        ))
+        pairs = F.transform(near, lambda b: F.struct(
+            a["i"].alias("i"), b["i"].alias("j"), F.when(a["inline"] | b["inline"], a["inline"]).otherwise(a["area"] < b["area"]).alias("lose_i"),
+            F.when(a["inline"] | b["inline"], b["inline"]).otherwise(a["area"] >= b["area"]).alias("lose_j"),
+        ))
+        own = F.array(F.struct(a["i"].alias("i"), F.lit(0).alias("j"), F.lit(True).alias("lose_i"), F.lit(False).alias("lose_j")))
+        return F.when(a["tiny"], F.concat(own, pairs)).otherwise(pairs)
+
+    return F.struct(boxes.alias("b"), F.flatten(F.transform(boxes, against)).alias("clashes"))
 
-    def outer(gone: Column, i: Column) -> Column:
-        a = F.element_at(bx, i)
-        tiny = (a["x2"] - a["x1"] < TINY) | (a["y2"] - a["y1"] < TINY)
-        before = F.when(tiny, F.array_append(gone, i)).otherwise(gone)
-
-        def inner(gone: Column, j: Column) -> Column:
-            b = F.element_at(bx, j)
-            skip = F.array_contains(gone, i) | F.array_contains(gone, j)
-            ratio = G.iomin(a, b)
-            ai, bi = F.coalesce(a["label"] == "inline_formula", F.lit(False)), F.coalesce(b["label"] == "inline_formula", F.lit(False))
-            exempt = F.coalesce((a["label"] != b["label"]) & a["label"].isin(L.OVERLAP_EXEMPT) & b["label"].isin(L.OVERLAP_EXEMPT), F.lit(False))
-            inline = F.concat(gone, F.when(ai, F.array(i)).otherwise(none), F.when(bi, F.array(j)).otherwise(none))
-            smaller = F.array_append(gone, F.when(G.area(a) >= G.area(b), j).otherwise(i))
-            return (
-                F.when(skip, gone).when(ai | bi, F.when(ratio > INLINE_OVERLAP, inline).otherwise(gone))
-                .when((ratio > DROP_OVERLAP) & ~exempt, smaller).otherwise(gone)
-            )
-
-        return F.aggregate(indices(i + 1), before, inner)
-
-    gone = F.aggregate(indices(F.lit(1)), none, outer)
-    return F.filter(bx, lambda b, i: ~F.array_contains(gone, i + 1))
+
+def _without_losers(state: Column) -> Column:
+    """The boxes that are left when each clash in turn, unless one of its boxes is gone, drops whom it drops."""
+
+    def step(gone: Column, e: Column) -> Column:
+        lost = F.concat(F.when(e["lose_i"], F.array(e["i"])).otherwise(none), F.when(e["lose_j"], F.array(e["j"])).otherwise(none))
+        return F.when((e["j"] > 0) & (F.array_contains(gone, e["i"]) | F.array_contains(gone, e["j"])), gone).otherwise(F.concat(gone, lost))
+
+    none = F.array().cast("array<int>")
+    gone = F.aggregate(state["clashes"], none, step)
+    return F.transform(F.filter(state["b"], lambda b: ~F.array_contains(gone, b["i"])), lambda b: b["box"])
 
 
 def rows(pages: DataFrame) -> DataFrame:

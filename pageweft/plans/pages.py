@@ -39,20 +39,25 @@ def page_blocks(detections: DataFrame, pages: DataFrame, config: PipelineConfig)
     return cropped.withColumns({"out_pos": F.col("pos"), "group_id": F.lit(None).cast("int"), "has_crop": F.lit(True)})
 
 
-def parse_detections(detections: DataFrame, pages: DataFrame, label_dim: DataFrame, config: PipelineConfig = PipelineConfig(), backend=recognize.StubBackend) -> DataFrame:
-    """One result for each page of ``pages`` from raw detections."""
+def parse_detections(detections: DataFrame, pages: DataFrame, label_dim: DataFrame, backend, config: PipelineConfig = PipelineConfig(), pixels: DataFrame | None = None) -> DataFrame:
+    """One result for each page of ``pages`` from raw detections. ``backend`` makes the recogniser, which gets crops of
+    ``pixels`` (page_id, height, width, rgb) where they are given."""
     # written once: recognition reads the gated blocks, and its answers join all of them
     blocks = materialize(page_blocks(L.named(detections, label_dim), pages, config), "blocks")
-    return render.results(recognize.recognized(blocks, config, backend), pages, config)
+    return render.results(recognize.recognized(blocks, config, backend, pixels), pages, config)
 
 
-def parse_pages(spark: SparkSession, path: str, label_dim: DataFrame, config: PipelineConfig = PipelineConfig(), backend=recognize.StubBackend) -> DataFrame:
+def parse_pages(spark: SparkSession, path: str, label_dim: DataFrame, backend, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """One result for each image file under ``path``."""
-    return parse_images(formats.images(spark, path), label_dim, config, backend)
+    return parse_images(formats.images(spark, path), label_dim, backend, config)
 
 
-def parse_images(pictures: DataFrame, label_dim: DataFrame, config: PipelineConfig = PipelineConfig(), backend=recognize.StubBackend) -> DataFrame:
-    found = recognize.detected(pictures, config, backend).where("status = 'ok'")
-    pages = found.select("page_id", "filename", "width", "height")
+def parse_images(pictures: DataFrame, label_dim: DataFrame, backend, config: PipelineConfig = PipelineConfig()) -> DataFrame:
+    """One result for each picture; one that can't be read has the status 'invalid_image', a text of the error, no blocks
+    and null markdown. Orientation, unwarping and layout run once for each picture: their outcome is written."""
+    found = materialize(recognize.detected(pictures, config, backend), "pictures")
+    pages = found.where("status = 'ok'").select("page_id", "filename", "width", "height")
     boxes = found.select("page_id", F.explode("found").alias("b")).select("page_id", "b.*")
-    return parse_detections(boxes, pages, label_dim, config, backend)
+    good = parse_detections(boxes, pages, label_dim, backend, config, found.where("rgb is not null"))
+    bad = found.where("status <> 'ok'").select("page_id", "filename", "width", "height", "status")
+    return good.unionByName(render.failures(bad, good, config))

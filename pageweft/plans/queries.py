@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import blocks as B
 from ..operators import detect as D
-from ..operators import render
+from ..operators import recognize, render
 from ..operators import sequences as Q
 from ..operators import suppress as S
 from ..sources import formats
@@ -117,10 +117,34 @@ def _prompts(spark, base):
     return lab.select("label", L.task(F.col("label")).alias("task"), F.md5(Q.prompt_text(L.prompt(F.col("label")), F.length("label"))).alias("prompt_md5"))
 
 
+def _needed(spark, base):
+    """Page files as required artifacts; every fifth may have any size, and every fourth file isn't there."""
+    p = table(spark, base, "pages_dim").where("filename is not null")
+    size = F.when(F.col("page_id") % 5 > 0, F.col("page_id") % 7)
+    need = p.select(F.lit("page").alias("kind"), F.col("page_id").alias("ord"), F.concat_ws("/", "filename", F.col("page_id").cast("string")).alias("path"), size.alias("size"))
+    have = need.where(F.col("ord") % 4 > 0).select("path", (F.col("ord") % 3).alias("length"))
+    return need, have
+
+
 def _verify(spark, base):
-    need = table(spark, base, "pages_dim").where("filename is not null").select(F.lit("page").alias("kind"), F.col("page_id").alias("ord"), F.col("filename").alias("path"), F.lit(None).cast("long").alias("size"))
-    have = table(spark, base, "parse_results").select(F.col("filename").alias("path"), F.lit(1).alias("length"))
-    return formats.missing(need, have).select("ord", "path")
+    return formats.missing(*_needed(spark, base)).select("ord", "path")
+
+
+def _trimmed_ids(spark, base):
+    ids = tokens(spark, base).groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("ids"))
+    return ids.select("seq_id", F.array_join(Q.ids_before_end(F.col("ids"), PLACEHOLDER), " ").alias("ids"))
+
+
+def _detections(spark, base):
+    top = D.top_detections(logits(spark, base), 8, 8).select("page_id", "rank", F.col("query").alias("i"))
+    votes = D.order_votes(logits(spark, base).select("page_id", F.col("query").alias("i"), F.col("class").alias("j"), "logit"))
+    return D.detection_order(top.join(votes, ["page_id", "i"])).select("page_id", "rank", F.col("i").alias("query"), "id")
+
+
+def _listed(spark, base):
+    """The blocks of the test table as results."""
+    b = blocks(spark, base).withColumns({"out_pos": F.col("pos"), "group_id": F.lit(None).cast("int")})
+    return render.results(b, page_sizes(spark, base), CONFIG)
 
 
 def _admission(spark, base):
@@ -130,13 +154,17 @@ def _admission(spark, base):
 
 def _result(spark, base):
     dets, pages = table(spark, base, "detections"), table(spark, base, "pages_dim")
-    r = plan.parse_detections(dets, pages, table(spark, base, "label_dim"), CONFIG)
+    r = plan.parse_detections(dets, pages, table(spark, base, "label_dim"), recognize.StubBackend, CONFIG)  # a stub: its texts name the blocks
     return r.select("page_id", "source.filename", F.size("blocks").alias("n_blocks"), "markdown")
 
 
 def _blocks_json(spark, base):
-    b = _emitted(spark, base)
-    return b.select("block_id", F.col("out_pos").alias("out_pos"), F.md5(render.block_json()).alias("json_md5"))
+    """Blocks as JSON and read again."""
+    b = _emitted(spark, base).withColumn("j", render.block_json())
+    read = F.from_json("j", "id int, `order` int, label string, bbox array<double>, score double, content string, group_id int")
+    b = b.withColumn("r", read).withColumn("fields", F.array_join(F.json_object_keys("j"), ","))
+    sides = [F.col("r.bbox")[i].alias(s) for i, s in enumerate(G.SIDES)]
+    return b.select("block_id", "out_pos", "fields", "r.id", F.col("r.order").alias("ord"), "r.label", *sides, "r.score", F.md5("r.content").alias("content_md5"), "r.group_id")
 
 
 def _image_prep(spark, base):
@@ -151,11 +179,12 @@ def _image_prep(spark, base):
         for b in batches:
             pics = [np.clip(np.array(v[:48]) * 64 + 128, 0, 255).astype(np.uint8).reshape(4, 4, 3) for v in b.column(1).to_pylist()]
             turned = [I.rotate(p, 90) for p in pics]
-            ready = [I.normalize(I.resize(t, 8, 8, "catmull_rom"), (0.5,) * 3, (0.5,) * 3, bgr=True) for t in turned]
-            cols = [[int(t[0, 0, 0]) for t in turned], [int(p[3, 0, 0]) for p in pics], [float(r.mean()) for r in ready], [float(I.max_pool(r, 3, 2).max()) for r in ready]]
+            ready = [I.normalize(t, (0.5,) * 3, (0.25,) * 3, bgr=True) for t in turned]
+            wide = [I.max_pool(I.reflect_pad(r, 1, 1), 2, 2) for r in ready]
+            cols = [[int(t[0, 0, 0]) for t in turned], [int(p[3, 0, 0]) for p in pics], [float(r[0].mean()) for r in ready], [float(w.max()) for w in wide]]
             yield pa.record_batch([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.float64()))]], names=["vec_id", "corner", "was", "mean", "top"])
 
-    return table(spark, base, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, corner int, was int, mean double, top double")
+    return table(spark, base, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, corner int, was int, mean double, top double").withColumns({"mean": F.round("mean", 3), "top": F.round("top", 3)})
 
 
 def _config(spark, base):
@@ -212,7 +241,7 @@ QUERIES = {
     "flt_anchor": lambda s, b: D.anchors(s, [(80, 80), (40, 40), (20, 20), (100, 1)]),
     "win_spans": lambda s, b: Q.spans(tokens(s, b), PLACEHOLDER),
     "win_mrope": lambda s, b: Q.positions(tokens(s, b), span_grids(s, b), PLACEHOLDER),
-    "win_mropev": lambda s, b: Q.positions(tokens(s, b), span_grids(s, b, True), PLACEHOLDER, 1.0),
+    "win_mropev": lambda s, b: Q.positions(tokens(s, b), span_grids(s, b, True), PLACEHOLDER, 1.0, first_only=True),
     "agg_mropedelta": lambda s, b: Q.position_delta(Q.positions(tokens(s, b), span_grids(s, b), PLACEHOLDER)),
     "jon_inject": lambda s, b: Q.injected(tokens(s, b), Q.spans(tokens(s, b), PLACEHOLDER).select("seq_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("p")).select("seq_id", F.row_number().over(Window.partitionBy("seq_id").orderBy("p")).alias("k")).select("seq_id", (F.col("k") - 1).alias("k"), (-F.col("k")).cast("double").alias("value")), PLACEHOLDER),
     "win_cuseq": lambda s, b: Q.cumulative_lengths(span_grids(s, b, True).withColumnRenamed("span", "k")),
@@ -225,15 +254,21 @@ QUERIES = {
     "img_reflect": lambda s, b: sizes(s, b).select("p_partkey", Q.reflect(F.col("h") - 700, 97).alias("i")),
     "src_format": lambda s, b: table(s, b, "pages_dim").select("page_id", formats.image_format(F.col("filename"), F.unhex(F.when(F.col("page_id") % 2 == 0, "FFD8FFE0").otherwise("89504E470D0A1A0A"))).alias("format")),
     "src_verify": _verify,
+    "src_skip": lambda s, b: formats.skippable(*_needed(s, b)),
+    "srt_det": _detections,
+    "top_enc": lambda s, b: D.top_anchors(logits(s, b), 3),
+    "agg_meanpool": lambda s, b: D.mean_pool(logits(s, b).select("page_id", F.col("class").alias("channel"), F.col("logit").alias("value"))).withColumn("mean", F.round("mean", 6)),
+    "prj_ids": _trimmed_ids,
+    "prj_meta": lambda s, b: _listed(s, b).select("page_id", "source.filename", "source.width", "source.height", "pipeline_version", F.array_join("stages", ",").alias("stages"), F.col("metadata.device").alias("device"), F.md5("markdown").alias("markdown_md5"), "status"),
     "snk_err": lambda s, b: table(s, b, "events").select("event_id", formats.status_of(F.when(F.col("event_type") == "error", "queue_full").when(F.col("event_type") == "click", "image")).alias("status")),
     "str_queue": _admission,
     "src_modelcfg": _config,
     "prj_angle": lambda s, b: table(s, b, "label_dim").select("label_id", L.angle(F.when(F.col("label_id") % 3 == 0, F.col("label")).otherwise((F.col("label_id") * 90).cast("string"))).alias("angle")),
-    "prj_maxtok": lambda s, b: table(s, b, "api_configs").select("api_id", F.least("max_tokens", F.lit(1024)).alias("limit")),
+    "prj_maxtok": lambda s, b: table(s, b, "api_configs").select("api_id", Q.token_limit(F.col("max_tokens"), 1024).alias("limit")),
     "prj_dtype": lambda s, b: table(s, b, "label_dim").select("label_id", formats.dtype(F.element_at(F.array(*map(F.lit, ("bfloat16", "float16", "float32", "int8"))), F.col("label_id") % 4 + 1), False).alias("dtype")),
-    "prj_trim": lambda s, b: blocks(s, b).select("block_id", F.md5(F.trim("content")).alias("text_md5")),
-    "agg_result": lambda s, b: blocks(s, b).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x")).select("page_id", F.posexplode("x").alias("n", "v")).select("page_id", "n", "v.pos", "v.label"),
-    "agg_countchk": lambda s, b: Q.spans(tokens(s, b), PLACEHOLDER).groupBy("seq_id").agg(F.sum(F.col("stop") - F.col("start")).alias("n"), F.count("*").alias("spans")),
+    "prj_trim": lambda s, b: blocks(s, b).select("block_id", F.md5(Q.trimmed(F.col("content"))).alias("text_md5")),
+    "agg_result": lambda s, b: _listed(s, b).select("page_id", F.posexplode("blocks").alias("n", "v")).select("page_id", "n", F.col("v.out_pos").alias("pos"), "v.label", F.col("v.bbox")[0].alias("x1"), F.md5("v.content").alias("content_md5")),
+    "agg_countchk": lambda s, b: Q.count_check(tokens(s, b), span_grids(s, b).where("grid_w <> 3 or seq_id % 2 = 0").withColumn("grid_w", F.col("grid_w") + F.when(F.col("seq_id") % 3 == 0, 1).otherwise(0)), PLACEHOLDER),
     "img_prep": _image_prep,
 }
 
@@ -247,7 +282,7 @@ _PAIR = """pair AS (SELECT a.page_id, a.id AS ia, b.id AS ib, a.label AS la, b.l
  FROM box a JOIN box b ON a.page_id = b.page_id AND a.id <> b.id)"""
 _LARGE = "('" + "', '".join(L.LARGE_LABELS) + "')"
 _BLK = """blk AS (SELECT DISTINCT ON (block_id) block_id, page_id, pos, id, ord, label, score, x1, y1, x2, y2, crop_w, crop_h, content FROM blocks)"""
-_LINK = _BLK + """, m AS (SELECT *, label NOT IN ('image', 'header_image', 'footer_image', 'table') AS mergeable FROM blk),
+_LINKED = """m AS (SELECT *, label NOT IN ('image', 'header_image', 'footer_image', 'table') AS mergeable FROM blk),
  p AS (SELECT *, last_value(CASE WHEN mergeable THEN {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'label': label} END IGNORE NULLS)
   OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM m),
  o AS (SELECT p.block_id, bool_or(least(greatest(p.x2, p.q.x2), n.x2) > greatest(least(p.x1, p.q.x1), n.x1) AND least(greatest(p.y2, p.q.y2), n.y2) > greatest(least(p.y1, p.q.y1), n.y1)) AS obst
@@ -263,6 +298,7 @@ _LINK = _BLK + """, m AS (SELECT *, label NOT IN ('image', 'header_image', 'foot
   WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  fin AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN mergeable THEN head WHEN pos <= e0 THEN g0 ELSE pos END, CASE WHEN NOT mergeable AND pos <= e0 THEN 1 ELSE 0 END, pos) - 1 AS out_pos,
   CASE WHEN head IS NOT NULL AND mw > 0 AND sh / mw < 3.0 THEN head END AS grp FROM em)"""
+_LINK = f"{_BLK}, {_LINKED}"
 _LOGITS = """lg AS (SELECT page_id, CAST((k - 1) // 8 AS INT) AS query, CAST((k - 1) % 8 AS INT) AS class, CAST(embedding[k] AS DOUBLE) AS logit
  FROM (SELECT vec_id AS page_id, embedding, unnest(range(1, 65)) AS k FROM embeddings))"""
 _TOK = """tok AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
@@ -294,8 +330,48 @@ _SIZE = """sz AS (SELECT p_partkey, CAST(p_size * 37 % 1500 + 1 AS DOUBLE) AS h,
 
 _TASK = "CASE label WHEN 'table' THEN 'table' WHEN 'formula' THEN 'formula' WHEN 'display_formula' THEN 'formula' WHEN 'inline_formula' THEN 'formula' WHEN 'chart' THEN 'chart' WHEN 'seal' THEN 'seal' ELSE 'ocr' END"
 _PROMPT = f"CASE {_TASK} WHEN 'table' THEN 'Table Recognition:' WHEN 'formula' THEN 'Formula Recognition:' WHEN 'chart' THEN 'Chart Recognition:' WHEN 'seal' THEN 'Seal Recognition:' ELSE 'OCR:' END"
+_WHITE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _UNCLIP = {"x1": "x1 + w/2 - w*1.2/2", "y1": "y1 + h/2 - h*1.2/2", "x2": "x1 + w/2 + w*1.2/2", "y2": "y1 + h/2 + h*1.2/2"}
 
+
+
+def _nms(src: str) -> str:
+    """Suppression over ``src``: st, whose rows from i = 0 on are the kept boxes in order."""
+    area = lambda b: f"greatest({b}.x2-{b}.x1,0)*greatest({b}.y2-{b}.y1,0)"
+    cut = "greatest(least(b.x2,rem[1].x2)-greatest(b.x1,rem[1].x1),0)*greatest(least(b.y2,rem[1].y2)-greatest(b.y1,rem[1].y1),0)"
+    all_ = f"({area('b')} + {area('rem[1]')} - {cut})"
+    return f"""st AS (
+ SELECT page_id, list({{'label': label, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'ord': ord}} ORDER BY score DESC, id) AS rem, {{'label': '', 'score': 0::DOUBLE, 'x1': 0::DOUBLE, 'y1': 0::DOUBLE, 'x2': 0::DOUBLE, 'y2': 0::DOUBLE, 'ord': 0::INT}} AS kept, -1 AS i FROM {src} GROUP BY page_id
+ UNION ALL SELECT page_id, list_filter(CASE WHEN len(rem) > 2 THEN list_concat([rem[len(rem)]], rem[2:len(rem)-1]) ELSE rem[2:] END, lambda b: CASE WHEN {all_} <= 0 THEN true ELSE {cut} / {all_} < 0.5 END),
+  rem[1], i + 1 FROM st WHERE len(rem) > 0)"""
+
+
+def _overlap(src: str) -> str:
+    """The overlap filter over ``src``: clear, the boxes that are left."""
+    return f"""bx AS (SELECT * FROM {src} WHERE label <> 'reference'),
+ ev AS (SELECT page_id, id AS i, -1 AS j, 0 AS kind FROM bx WHERE x2 - x1 < 6 OR y2 - y1 < 6 UNION ALL
+  SELECT a.page_id, a.id, b.id, CASE WHEN a.label = 'inline_formula' AND b.label = 'inline_formula' THEN 3 WHEN a.label = 'inline_formula' THEN 1 WHEN b.label = 'inline_formula' THEN 2
+   WHEN (a.x2-a.x1)*(a.y2-a.y1) >= (b.x2-b.x1)*(b.y2-b.y1) THEN 2 ELSE 1 END
+  FROM bx a JOIN bx b ON a.page_id = b.page_id AND a.id < b.id
+  WHERE least(greatest(a.x2-a.x1,0)*greatest(a.y2-a.y1,0), greatest(b.x2-b.x1,0)*greatest(b.y2-b.y1,0)) > 0 AND
+   greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0) / least(greatest(a.x2-a.x1,0)*greatest(a.y2-a.y1,0), greatest(b.x2-b.x1,0)*greatest(b.y2-b.y1,0)) >
+   CASE WHEN a.label = 'inline_formula' OR b.label = 'inline_formula' THEN 0.5 WHEN a.label <> b.label AND a.label IN ('image','table','seal','chart') AND b.label IN ('image','table','seal','chart') THEN 9 ELSE 0.7 END),
+ sq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS n FROM ev),
+ run AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS dr FROM sq UNION ALL
+  SELECT s.page_id, s.n, CASE WHEN s.kind = 0 THEN list_append(dr, s.i::BIGINT) WHEN list_contains(dr, s.i::BIGINT) OR list_contains(dr, s.j::BIGINT) THEN dr
+   WHEN s.kind = 1 THEN list_append(dr, s.i::BIGINT) WHEN s.kind = 2 THEN list_append(dr, s.j::BIGINT) ELSE list_append(list_append(dr, s.i::BIGINT), s.j::BIGINT) END
+  FROM run r JOIN sq s ON s.page_id = r.page_id AND s.n = r.n + 1),
+ last_ AS (SELECT page_id, arg_max(dr, n) AS dr FROM run GROUP BY page_id),
+ clear AS (SELECT b.* FROM bx b LEFT JOIN last_ f USING (page_id) WHERE f.dr IS NULL OR NOT list_contains(f.dr, b.id::BIGINT))"""
+
+
+#: The whole clean-up of labelled boxes: threshold, suppression, containment, overlap.
+_POST = f"""sure AS (SELECT * FROM box WHERE score >= 0.3), {_nms('sure')},
+ kept_ AS (SELECT page_id, i AS id, kept.ord AS ord, kept.label AS label, kept.score AS score, kept.x1 AS x1, kept.y1 AS y1, kept.x2 AS x2, kept.y2 AS y2 FROM st WHERE i >= 0),
+ swal AS (SELECT DISTINCT a.page_id, a.id FROM kept_ a JOIN kept_ b ON a.page_id = b.page_id AND a.id <> b.id WHERE b.label IN {_LARGE} AND NOT (a.label = 'formula' AND b.label <> 'formula')
+  AND (a.x2-a.x1) > 0 AND (a.y2-a.y1) > 0 AND greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0) / ((a.x2-a.x1)*(a.y2-a.y1)) >= 0.9),
+ outer_ AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY page_id ORDER BY id) - 1)::INT AS id) FROM kept_ WHERE (page_id, id) NOT IN (SELECT page_id, id FROM swal)), {_overlap('outer_')}"""
+
 ORACLE = {
     "flt_score": f"WITH {_BOX} SELECT page_id, id, score FROM box WHERE score >= 0.3",
     "flt_ref": f"WITH {_BOX} SELECT page_id, id, label FROM box WHERE label <> 'reference'",
@@ -321,28 +397,16 @@ ORACLE = {
     "jon_contain_mode": f"""WITH {_BOX}, {_PAIR}, hit AS (SELECT page_id, ia, ib, la, lb FROM pair WHERE NOT (la = 'formula' AND lb <> 'formula') AND aa > 0 AND cut / aa >= 0.9),
  gone AS (SELECT page_id, ia AS id FROM hit WHERE lb IN ('table', 'text') UNION SELECT page_id, ib FROM hit h WHERE la = 'image' AND NOT EXISTS (SELECT 1 FROM hit g WHERE g.page_id = h.page_id AND g.ia = h.ib AND g.la = 'image'))
  SELECT page_id, id, label FROM box WHERE (page_id, id) NOT IN (SELECT page_id, id FROM gone)""",
-    "agg_nms": f"""WITH RECURSIVE {_BOX}, st AS (
- SELECT page_id, list({{'label': label, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY score DESC, id) AS rem, {{'label': '', 'score': 0::DOUBLE, 'x1': 0::DOUBLE, 'y1': 0::DOUBLE, 'x2': 0::DOUBLE, 'y2': 0::DOUBLE}} AS kept, -1 AS i FROM box GROUP BY page_id
- UNION ALL SELECT page_id, list_filter(CASE WHEN len(rem) > 2 THEN list_concat([rem[len(rem)]], rem[2:len(rem)-1]) ELSE rem[2:] END, lambda b:
-  CASE WHEN greatest(b.x2-b.x1,0)*greatest(b.y2-b.y1,0) + greatest(rem[1].x2-rem[1].x1,0)*greatest(rem[1].y2-rem[1].y1,0) - greatest(least(b.x2,rem[1].x2)-greatest(b.x1,rem[1].x1),0)*greatest(least(b.y2,rem[1].y2)-greatest(b.y1,rem[1].y1),0) <= 0 THEN true ELSE
-  greatest(least(b.x2,rem[1].x2)-greatest(b.x1,rem[1].x1),0)*greatest(least(b.y2,rem[1].y2)-greatest(b.y1,rem[1].y1),0) / (greatest(b.x2-b.x1,0)*greatest(b.y2-b.y1,0) + greatest(rem[1].x2-rem[1].x1,0)*greatest(rem[1].y2-rem[1].y1,0) - greatest(least(b.x2,rem[1].x2)-greatest(b.x1,rem[1].x1),0)*greatest(least(b.y2,rem[1].y2)-greatest(b.y1,rem[1].y1),0)) < 0.5 END),
-  rem[1], i + 1 FROM st WHERE len(rem) > 0)
- SELECT page_id, i AS new_id, kept.label AS label, kept.score AS score, kept.x1 AS x1, kept.y1 AS y1, kept.x2 AS x2, kept.y2 AS y2 FROM st WHERE i >= 0""",
-    "agg_overlap": f"""WITH RECURSIVE {_BOX}, bx AS (SELECT * FROM box WHERE label <> 'reference'),
- ev AS (SELECT page_id, id AS i, -1 AS j, 0 AS kind FROM bx WHERE x2 - x1 < 6 OR y2 - y1 < 6 UNION ALL
-  SELECT a.page_id, a.id, b.id, CASE WHEN a.label = 'inline_formula' AND b.label = 'inline_formula' THEN 3 WHEN a.label = 'inline_formula' THEN 1 WHEN b.label = 'inline_formula' THEN 2
-   WHEN (a.x2-a.x1)*(a.y2-a.y1) >= (b.x2-b.x1)*(b.y2-b.y1) THEN 2 ELSE 1 END
-  FROM bx a JOIN bx b ON a.page_id = b.page_id AND a.id < b.id
-  WHERE least(greatest(a.x2-a.x1,0)*greatest(a.y2-a.y1,0), greatest(b.x2-b.x1,0)*greatest(b.y2-b.y1,0)) > 0 AND
-   greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0) / least(greatest(a.x2-a.x1,0)*greatest(a.y2-a.y1,0), greatest(b.x2-b.x1,0)*greatest(b.y2-b.y1,0)) >
-   CASE WHEN a.label = 'inline_formula' OR b.label = 'inline_formula' THEN 0.5 WHEN a.label <> b.label AND a.label IN ('image','table','seal','chart') AND b.label IN ('image','table','seal','chart') THEN 9 ELSE 0.7 END),
- sq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS n FROM ev),
- run AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS dr FROM sq UNION ALL
-  SELECT s.page_id, s.n, CASE WHEN s.kind = 0 THEN list_append(dr, s.i::BIGINT) WHEN list_contains(dr, s.i::BIGINT) OR list_contains(dr, s.j::BIGINT) THEN dr
-   WHEN s.kind = 1 THEN list_append(dr, s.i::BIGINT) WHEN s.kind = 2 THEN list_append(dr, s.j::BIGINT) ELSE list_append(list_append(dr, s.i::BIGINT), s.j::BIGINT) END
-  FROM run r JOIN sq s ON s.page_id = r.page_id AND s.n = r.n + 1),
- fin AS (SELECT page_id, arg_max(dr, n) AS dr FROM run GROUP BY page_id)
- SELECT b.page_id, b.id, b.label FROM bx b LEFT JOIN fin f USING (page_id) WHERE f.dr IS NULL OR NOT list_contains(f.dr, b.id::BIGINT)""",
+    "agg_nms": f"WITH RECURSIVE {_BOX}, {_nms('box')} SELECT page_id, i AS new_id, kept.label AS label, kept.score AS score, kept.x1 AS x1, kept.y1 AS y1, kept.x2 AS x2, kept.y2 AS y2 FROM st WHERE i >= 0",
+    "agg_overlap": f"WITH RECURSIVE {_BOX}, {_overlap('box')} SELECT page_id, id, label FROM clear",
+    "pipe_post": f"WITH RECURSIVE {_BOX}, {_POST} SELECT page_id, id, label, score, x1, y1, x2, y2 FROM clear",
+    "page_results": f"""WITH RECURSIVE {_BOX}, {_POST},
+ full_ AS (SELECT page_id, id, ord, label, score, x1, y1, x2, y2 FROM clear UNION ALL SELECT page_id, 0, 0, 'text', 1.0, 0, 0, width::DOUBLE, height::DOUBLE FROM pg WHERE page_id NOT IN (SELECT page_id FROM clear)),
+ rect AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord ASC NULLS LAST, id) - 1 AS pos, floor(greatest(x1, 0)) AS l, floor(greatest(y1, 0)) AS t, ceil(least(x2, width)) AS r, ceil(least(y2, height)) AS b FROM full_ JOIN pg USING (page_id)),
+ blk AS (SELECT row_number() OVER () AS block_id, page_id, pos, id, ord, label, score, x1, y1, x2, y2, greatest(r - l, 1)::INT AS crop_w, greatest(b - t, 1)::INT AS crop_h FROM rect), {_LINKED},
+ said AS (SELECT page_id, out_pos, label, CASE WHEN label NOT IN ('chart', 'seal', 'image', 'header_image', 'footer_image') AND (grp IS NULL OR grp = pos) THEN {_PROMPT} || ' ' || page_id || '-' || pos ELSE '' END AS content FROM fin)
+ SELECT s.page_id, p.filename, count(*) AS n_blocks, coalesce(string_agg(CASE WHEN label NOT IN ('number', 'footnote', 'header', 'header_image', 'footer', 'footer_image', 'aside_text') AND content <> '' THEN content || chr(10) || chr(10) END, '' ORDER BY out_pos), '') AS markdown
+ FROM said s JOIN pages_dim p USING (page_id) GROUP BY ALL""",
     "srt_read": f"WITH {_BOX} SELECT page_id, id, (row_number() OVER (PARTITION BY page_id ORDER BY ord ASC NULLS LAST, id) - 1)::INT AS pos FROM box",
     "win_link": f"WITH {_LINK} SELECT block_id, mergeable, link FROM lk",
     "win_group": f"WITH {_LINK} SELECT block_id, head FROM gr",
@@ -367,7 +431,11 @@ ORACLE = {
  g AS (SELECT level, CAST(k // w AS INT) AS y, CAST(k % w AS INT) AS x, (k % w + 0.5::DOUBLE) / w AS cx, (k // w + 0.5::DOUBLE) / h AS cy FROM c) SELECT *, cx > 0.01 AND cx < 1 - 0.01 AND cy > 0.01 AND cy < 1 - 0.01 AS valid FROM g""",
     "win_spans": f"WITH {_TOK} SELECT seq_id, span, start, stop FROM sp",
     "win_mrope": f"WITH {_rope(False)} SELECT * FROM ps",
-    "win_mropev": f"WITH {_rope(True)} SELECT * FROM ps",
+    "win_mropev": f"""WITH {_TOK}, gd AS (SELECT seq_id, start, stop, CASE WHEN (stop - start) % 2 = 0 THEN 2 ELSE 1 END AS gt FROM sp WHERE span = 0),
+ v AS (SELECT tok.*, gt, (stop - start) // gt AS gw, start, stop, coalesce(tok.pos >= start AND tok.pos < stop, false) AS inside FROM tok LEFT JOIN gd USING (seq_id))
+ SELECT seq_id, pos, CASE WHEN inside THEN start + (pos - start) // gw WHEN pos >= stop THEN start + greatest(gt, gw) + pos - stop ELSE pos END AS t,
+  CASE WHEN inside THEN start WHEN pos >= stop THEN start + greatest(gt, gw) + pos - stop ELSE pos END AS h,
+  CASE WHEN inside THEN start + (pos - start) % gw WHEN pos >= stop THEN start + greatest(gt, gw) + pos - stop ELSE pos END AS w, 'ok' AS status FROM v""",
     "agg_mropedelta": f"WITH {_rope(False)} SELECT seq_id, max(greatest(t, h, w)) + 1 - count(*) AS delta FROM ps GROUP BY seq_id",
     "jon_inject": f"WITH {_TOK} SELECT seq_id, pos, CASE WHEN token = 5 THEN -sum(CASE WHEN token = 5 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos)::DOUBLE ELSE value END AS value, 'ok' AS status FROM tok",
     "win_cuseq": f"""WITH {_TOK}, f AS (SELECT seq_id, span, unnest(range(CASE WHEN (stop-start) % 2 = 0 THEN 2 ELSE 1 END)) AS f, (stop-start) // CASE WHEN (stop-start) % 2 = 0 THEN 2 ELSE 1 END AS n FROM sp)
@@ -381,7 +449,31 @@ ORACLE = {
     "prj_divis": "WITH v AS (SELECT p_partkey, (p_size * 37 % 1500 + 1) * 0.35::DOUBLE AS v FROM part), n AS (SELECT *, greatest(floor((v + 4) / 8) * 8, 8) AS d FROM v) SELECT p_partkey, CAST(CASE WHEN d < 0.9 * v THEN d + 8 ELSE d END AS INT) AS channels FROM n",
     "img_reflect": "WITH v AS (SELECT p_partkey, ((p_size * 37 % 1500 + 1 - 700) % 192 + 192) % 192 AS r FROM part) SELECT p_partkey, CASE WHEN r < 97 THEN r ELSE 192 - r END AS i FROM v",
     "src_format": "SELECT page_id, CASE WHEN regexp_matches(lower(filename), '\\.jpe?g$') THEN 'jpeg' WHEN ends_with(lower(filename), '.png') THEN 'png' WHEN page_id % 2 = 0 THEN 'jpeg' ELSE 'png' END AS format FROM pages_dim",
-    "src_verify": "SELECT page_id AS ord, filename AS path FROM pages_dim WHERE filename IS NOT NULL AND filename NOT IN (SELECT filename FROM parse_results WHERE filename IS NOT NULL)",
+    "src_verify": "SELECT page_id AS ord, filename || '/' || page_id AS path FROM pages_dim WHERE filename IS NOT NULL AND page_id % 4 = 0",
+    "src_skip": "SELECT filename || '/' || page_id AS path, page_id % 4 > 0 AND (page_id % 5 = 0 OR page_id % 7 = page_id % 3) AS skip FROM pages_dim WHERE filename IS NOT NULL",
+    "srt_det": f"""WITH {_LOGITS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY logit DESC, query*8+class) - 1 AS rank FROM lg),
+ v AS (SELECT page_id, query AS i, 1/(1+exp(-logit)) AS v FROM lg WHERE query < class UNION ALL SELECT page_id, class, 1 - 1/(1+exp(-logit)) FROM lg WHERE query < class UNION ALL SELECT page_id, query, 0 FROM lg),
+ o AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY round(sum(v), 9) DESC, i) AS ord FROM v GROUP BY page_id, i)
+ SELECT r.page_id, rank, query, row_number() OVER (PARTITION BY r.page_id ORDER BY ord, rank) - 1 AS id FROM r JOIN o ON o.page_id = r.page_id AND o.i = r.query WHERE rank < 8""",
+    "top_enc": f"WITH {_LOGITS}, m AS (SELECT page_id, query, max(logit) AS best FROM lg GROUP BY ALL), r AS (SELECT page_id, query, row_number() OVER (PARTITION BY page_id ORDER BY best DESC, query) - 1 AS rank FROM m) SELECT page_id, rank, query FROM r WHERE rank < 3",
+    "agg_meanpool": f"WITH {_LOGITS} SELECT page_id, class AS channel, round(avg(logit), 6) AS mean FROM lg GROUP BY ALL",
+    "prj_ids": f"WITH {_TOK} SELECT t.seq_id, coalesce(string_agg(CASE WHEN t.pos < coalesce(f.at, 1e15) THEN token END, ' ' ORDER BY t.pos), '') AS ids FROM tok t LEFT JOIN (SELECT seq_id, min(start) AS at FROM sp GROUP BY seq_id) f USING (seq_id) GROUP BY t.seq_id",
+    "prj_meta": f"""WITH {_BLK}, md AS (SELECT page_id, string_agg(CASE WHEN label NOT IN ('number', 'footnote', 'header', 'header_image', 'footer', 'footer_image', 'aside_text') AND coalesce(content, '') <> ''
+ THEN content || CASE WHEN ends_with(content, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END END, '' ORDER BY pos) AS markdown FROM blk GROUP BY page_id)
+ SELECT page_id, filename, coalesce(width, 0) AS width, coalesce(height, 0) AS height, 'v1.6' AS pipeline_version, 'doc_orientation,doc_unwarping,layout,recognition' AS stages, 'cpu' AS device, md5(coalesce(markdown, '')) AS markdown_md5, 'ok' AS status FROM pages_dim LEFT JOIN md USING (page_id)""",
+    "win_offset": f"""WITH {_LINK}, c AS (SELECT page_id, head, pos, crop_w, crop_h, coalesce(link, 'center') AS how, row_number() OVER k - 1 AS i, max(crop_w) OVER (k ROWS UNBOUNDED PRECEDING) AS w FROM gr WHERE head IS NOT NULL WINDOW k AS (PARTITION BY page_id, head ORDER BY pos)),
+ d AS (SELECT *, w - coalesce(lag(w) OVER k, w) AS grew, w - crop_w AS gap FROM c WINDOW k AS (PARTITION BY page_id, head ORDER BY pos)),
+ e AS (SELECT *, CASE how WHEN 'center' THEN grew // 2 WHEN 'right' THEN grew ELSE 0 END AS pushed, CASE WHEN i = 0 THEN 0 WHEN how = 'center' THEN gap // 2 WHEN how = 'right' THEN gap ELSE 0 END AS own FROM d)
+ SELECT page_id, head, i, pos, own + coalesce(sum(pushed) OVER (k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS x_off, coalesce(sum(crop_h) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y_off,
+  max(w) OVER (PARTITION BY page_id, head) AS canvas_w, sum(crop_h) OVER (PARTITION BY page_id, head) AS canvas_h FROM e WINDOW k AS (PARTITION BY page_id, head ORDER BY pos)""",
+    "snk_json": f"WITH {_LINK} SELECT block_id, out_pos, 'id,order,label,bbox,score,content' || CASE WHEN grp IS NULL THEN '' ELSE ',group_id' END AS fields, id, ord, label, x1, y1, x2, y2, score, md5(content) AS content_md5, grp AS group_id FROM fin",
+    "str_queue": """WITH RECURSIVE ar AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY came, seq) AS n FROM (SELECT user_id % 20 AS server, event_id AS seq, epoch_us(ts) / 1e6 AS came FROM events)),
+ go AS (SELECT DISTINCT server, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST([] AS DOUBLE[]) AS busy, true AS admitted FROM ar UNION ALL
+  SELECT server, n, seq, CASE WHEN len(b) < 3 THEN list_append(b, coalesce(b[len(b)], came) + 600) ELSE b END, len(b) < 3
+  FROM (SELECT a.server, a.n, a.seq, a.came, list_filter(g.busy, lambda t: t > a.came) AS b FROM go g JOIN ar a ON a.server = g.server AND a.n = g.n + 1))
+ SELECT server, seq, admitted FROM go WHERE n > 0""",
+    "img_prep": """WITH p AS (SELECT vec_id, unnest(range(48)) AS k, embedding FROM embeddings), v AS (SELECT vec_id, k, trunc(greatest(least(CAST(embedding[k + 1] AS DOUBLE) * 64 + 128, 255), 0)) AS v FROM p)
+ SELECT vec_id, max(CASE WHEN k = 36 THEN v END)::INT AS corner, max(CASE WHEN k = 36 THEN v END)::INT AS was, round((avg(CASE WHEN k % 3 = 2 THEN v END) / 255 - 0.5) / 0.25, 3) AS mean, round((max(v) / 255 - 0.5) / 0.25, 3) AS top FROM v GROUP BY vec_id""",
     "snk_err": "SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 400 ELSE 200 END AS status FROM events",
 }
 ORACLE |= {
@@ -389,8 +481,10 @@ ORACLE |= {
     "prj_angle": "SELECT label_id, CASE WHEN label_id % 3 = 0 THEN 0 ELSE label_id * 90 END AS angle FROM label_dim",
     "prj_maxtok": "SELECT api_id, least(max_tokens, 1024) AS limit FROM api_configs",
     "prj_dtype": "SELECT label_id, CASE label_id % 4 WHEN 0 THEN 'bf16' WHEN 1 THEN 'f16' WHEN 2 THEN 'f32' END AS dtype FROM label_dim",
-    "prj_trim": f"WITH {_BLK} SELECT block_id, md5(trim(content)) AS text_md5 FROM blk",
-    "agg_result": f"WITH {_BLK} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n, pos, label FROM blk",
-    "agg_countchk": f"WITH {_TOK} SELECT seq_id, sum(stop - start) AS n, count(*) AS spans FROM sp GROUP BY seq_id",
+    "prj_trim": f"WITH {_BLK} SELECT block_id, md5(regexp_replace(content, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS text_md5 FROM blk",
+    "agg_result": f"WITH {_BLK} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n, pos, label, x1, md5(coalesce(content, '')) AS content_md5 FROM blk JOIN pages_dim USING (page_id)",
+    "agg_countchk": f"""WITH {_TOK}, g AS (SELECT *, stop - start AS n, CASE WHEN (stop - start) % 2 = 0 THEN 2 ELSE 1 END AS gh FROM sp), h AS (SELECT *, n // gh AS gw FROM g),
+ c AS (SELECT *, CASE WHEN gw <> 3 OR seq_id % 2 = 0 THEN gh * (gw + CASE WHEN seq_id % 3 = 0 THEN 1 ELSE 0 END) END AS cells FROM h)
+ SELECT seq_id, sum(n) AS n_tokens, coalesce(sum(cells), 0) AS n_grid, count(n) AS n_spans, count(cells) AS n_grids, CASE WHEN bool_and(coalesce(n = cells, false)) THEN 'ok' ELSE 'mismatch' END AS status FROM c GROUP BY seq_id""",
 }
 ORACLE["jon_contain_array"] = ORACLE["jon_contain"]

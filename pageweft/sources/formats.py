@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Endings in either case.
+IMAGE_FILES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """page_id, filename, image of the JPEG and PNG files under ``path``; undecodable ones have height -1."""
-    df = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path)
+    df = spark.read.format("image").option("pathGlobFilter", IMAGE_FILES).load(path)
     name = F.element_at(F.split("image.origin", "/"), -1)
     return df.select(F.xxhash64("image.origin").alias("page_id"), name.alias("filename"), "image")
 
@@ -40,6 +46,22 @@ def status_of(error: Column) -> Column:
     return F.when(error.isNull(), 200).when(error.isin("image", "missing_file"), 400).when(error == "unsupported", 415).when(error.isin("queue_full", "worker_unavailable"), 503).otherwise(500)
 
 
+def manifest(spark: SparkSession, rows: list[tuple[str, str, int | None]]) -> DataFrame:
+    """kind, ord, path, size of required artifacts, in the order given; a null size accepts any."""
+    return spark.createDataFrame([(k, i, p, n) for i, (k, p, n) in enumerate(rows)], "kind string, ord int, path string, size long")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder) and length of its files; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return files.select(F.regexp_replace("path", r"^.*?" + re.escape(folder.strip("/")) + "/", "").alias("path"), "length")
+
+
+def json_object(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The JSON object in the file ``name`` of a folder as one row, however it is laid out."""
+    return spark.read.option("multiLine", "true").json(f"{folder.rstrip('/')}/{name}")
+
+
 def missing(required: DataFrame, listing: DataFrame) -> DataFrame:
     """Required artifacts (kind, ord, path, size) without a file (path, length) in the listing, in order."""
     return required.join(listing.select("path").distinct(), "path", "left_anti")

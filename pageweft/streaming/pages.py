@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
-from ..operators import recognize
 from ..plans import pages as plan
+from ..sources import formats
 
 
-def parse_stream(spark: SparkSession, folder: str, label_dim: DataFrame, out: str, checkpoint: str, config: PipelineConfig = PipelineConfig(), backend=recognize.StubBackend, files_per_batch: int = 64):
+def parse_stream(spark: SparkSession, folder: str, label_dim: DataFrame, out: str, checkpoint: str, backend, config: PipelineConfig = PipelineConfig(), files_per_batch: int = 64):
     """A started query that parses image files landing in ``folder`` and writes results to ``out`` (Parquet).
     Each file is one page, so no state is kept; a batch holds at most ``files_per_batch`` files."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{jpg,jpeg,png}").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", formats.IMAGE_FILES).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
     def each(batch: DataFrame, epoch: int) -> None:
         paths = [r["path"] for r in batch.select("path").collect()]  # at most files_per_batch
         if paths:
             pictures = spark.read.format("image").load(paths).select(F.xxhash64("image.origin").alias("page_id"), F.element_at(F.split("image.origin", "/"), -1).alias("filename"), "image")
-            plan.parse_images(pictures, label_dim, config, backend).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            plan.parse_images(pictures, label_dim, backend, config).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return files.select("path").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,19 +1,21 @@
+import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageweft.config import PipelineConfig, from_env
+from pageweft.config import PipelineConfig, device, env_file, from_env
 from pageweft.functions import images as I
 from pageweft.functions import labels as L
 from pageweft.operators import blocks as B
-from pageweft.operators import render
+from pageweft.operators import recognize, render
 from pageweft.operators import suppress as S
 from pageweft.plans import pages as plan
-from pageweft.sources import formats
+from pageweft.sources import formats, tables
 from pageweft.streaming import pages as stream
 
 SCHEMA = "page_id long, id int, ord int, label string, score double, x1 double, y1 double, x2 double, y2 double"
@@ -114,11 +116,11 @@ def test_empty_tables_and_extra_columns(spark):
     pages = spark.createDataFrame([(0, "a", 10, 20)], "page_id long, filename string, width int, height int")
     dim = spark.createDataFrame([(22, "text")], "label_id int, label string")
     det = spark.createDataFrame([(0, 0, 0.9, 0.0, 0.0, 8.0, 8.0, None, None, 5)], "page_id long, id int, score double, x1 double, y1 double, x2 double, y2 double, label_id int, ord int, width int")
-    got = plan.parse_detections(det.unionByName(det), pages, dim).collect()
+    got = plan.parse_detections(det.unionByName(det), pages, dim, recognize.StubBackend).collect()
     assert len(got) == 1 and got[0].blocks[0].label == "unknown" and got[0].markdown.startswith("OCR:")
-    bare = plan.parse_detections(det.limit(0), pages, dim).collect()
+    bare = plan.parse_detections(det.limit(0), pages, dim, recognize.StubBackend).collect()
     assert bare[0].blocks[0].bbox == [0.0, 0.0, 10.0, 20.0]
-    assert plan.parse_detections(det, pages.limit(0), dim).count() == 0
+    assert plan.parse_detections(det, pages.limit(0), dim, recognize.StubBackend).count() == 0
 
 
 def _png(path, img):
@@ -128,17 +130,98 @@ def _png(path, img):
     path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
+def _sizes(calls):
+    class Sizes:
+        """Two text boxes that continue each other in the next column; tells of each crop its size and mean."""
+
+        def _called(self, what):
+            with open(f"{calls}/{what}", "a") as f:
+                f.write("x")
+
+        def orientation(self, image):
+            self._called("orientation")
+            return 0, 1.0
+
+        def flow(self, image):
+            y, x = np.meshgrid(np.linspace(-1, 1, 5), np.linspace(-1, 1, 5), indexing="ij")
+            return np.stack([x, y])
+
+        def layout(self, image):
+            self._called("layout")
+            return [(22, 0.9, 16.0, 0.0, 26.0, 12.0, 1), (22, 0.8, 0.0, 0.0, 14.0, 20.0, 0)]
+
+        def recognize(self, crops, keys, prompts, max_tokens):
+            return [f"{c.shape[1]}x{c.shape[0]} {c.mean():.1f}" for c in crops]
+
+    return Sizes
+
+
 def test_images_in_batch_and_stream(spark, tmp_path):
-    folder = tmp_path / "in"
+    folder, calls = tmp_path / "in", tmp_path / "calls"
     folder.mkdir()
-    _png(folder / "a.png", np.full((40, 30, 3), 200, np.uint8))
+    calls.mkdir()
+    for i in range(6):
+        _png(folder / f"{i}.PNG", np.full((40, 30, 3), 20 * i, np.uint8))
     (folder / "broken.png").write_bytes(b"no image")
     dim = spark.createDataFrame([(22, "text")], "label_id int, label string")
-    rows = plan.parse_pages(spark, str(folder), dim).collect()
-    assert [(r.source.filename, r.source.width, r.source.height) for r in rows] == [("a.png", 30, 40)]
-    q = stream.parse_stream(spark, str(folder), dim, str(tmp_path / "out"), str(tmp_path / "check"))
+    rows = {r.source.filename: r for r in plan.parse_pages(spark, str(folder), dim, _sizes(str(calls))).collect()}
+    assert len(rows) == 7 and rows["broken.png"].status == "invalid_image" and rows["broken.png"].blocks == [] and rows["broken.png"].error
+    assert {(calls / n).read_text() for n in ("orientation", "layout")} == {"x" * 6}
+    for i in range(6):
+        r = rows[f"{i}.PNG"]
+        # the group is one canvas: as wide as its widest crop, as tall as both, white where the narrow one ends
+        mean = (20 * i * (14 * 20 + 10 * 12) + 255 * 4 * 12) / (14 * 32)
+        assert (r.source.width, r.source.height, r.status) == (30, 40, "ok") and [b.content for b in r.blocks] == [f"14x32 {mean:.1f}", ""]
+        assert [b.group_id for b in r.blocks] == [0, 0] and r.metadata.device == "cpu" and len(r.document_id) == 36
+    bare = plan.parse_pages(spark, str(folder), dim, _sizes(str(calls)), PipelineConfig(merge_layout_blocks=False, include_markdown=False)).where("status = 'ok'").collect()
+    assert {tuple(b.content.split()[0] for b in r.blocks) for r in bare} == {("14x20", "10x12")} and all(r.markdown is None for r in bare)
+    q = stream.parse_stream(spark, str(folder), dim, str(tmp_path / "out"), str(tmp_path / "check"), recognize.StubBackend)
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_backends_of_one_name_do_not_share_a_model():
+    from pyspark import cloudpickle
+
+    made = [cloudpickle.dumps(lambda n=n: [n]) for n in (1, 2)]
+    assert [recognize.loaded(m) for m in made] == [[1], [2]] and recognize.loaded(made[0]) is recognize.loaded(made[0])
+
+
+def _overlap_brute(page):
+    page = [(i, b) for i, b in enumerate(page) if b[0] != "reference"]
+    area = lambda b: max(b[4] - b[2], 0) * max(b[5] - b[3], 0)
+    gone = set()
+    for n, (i, a) in enumerate(page):
+        if a[4] - a[2] < 6 or a[5] - a[3] < 6:
+            gone.add(i)
+        for j, b in page[n + 1 :]:
+            if i in gone or j in gone or min(area(a), area(b)) <= 0:
+                continue
+            cut = max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0) / min(area(a), area(b))
+            if "inline_formula" in (a[0], b[0]):
+                if cut > 0.5:
+                    gone |= {k for k, x in ((i, a), (j, b)) if x[0] == "inline_formula"}
+            elif cut > 0.7 and not (a[0] != b[0] and {a[0], b[0]} <= set(L.OVERLAP_EXEMPT)):
+                gone.add(j if area(a) >= area(b) else i)
+    return {i for i, _ in page} - gone
+
+
+def test_overlap_on_full_pages(spark):
+    r = random.Random(8)
+    pages = []
+    for _ in range(4):
+        page = []
+        for _ in range(300):
+            x, y = r.randint(0, 400), r.randint(0, 400)
+            page.append((r.choice(["text", "table", "image", "inline_formula", "reference", "chart"]), 1.0, x, y, x + r.randint(3, 60), y + r.randint(3, 60)))
+        pages.append(page)
+    got = {p: set() for p in range(4)}
+    began = time.time()
+    for x in S.rows(S.overlap_filter(S.page_boxes(_df(spark, pages)))).collect():
+        got[x.page_id].add(x.id)
+    took = time.time() - began
+    assert [got[p] for p in range(4)] == [_overlap_brute(p) for p in pages]
+    assert took < 20
 
 
 def test_kernels():
@@ -156,10 +239,23 @@ def test_kernels():
     assert I.merge_patches(patches, 1, 2, 2)[0].tolist() == [0, 1, 4, 5]
 
 
-def test_settings_and_formats(spark):
+def test_env_file_never_overrides(tmp_path):
+    path = tmp_path / ".env"
+    path.write_text('# settings\nexport MAX_TOKENS=7\nMODELS_DIR="a b" \nBIND_ADDR=x # local\n')
+    assert env_file(str(path)) == {"MAX_TOKENS": "7", "MODELS_DIR": "a b", "BIND_ADDR": "x"} and env_file(str(tmp_path / "none")) == {}
+    c = from_env({"MODELS_DIR": "m"}, dotenv=str(path))
+    assert (c.models_dir, c.pipeline.max_tokens) == ("m", 7)
+
+
+def test_settings_and_formats(spark, tmp_path):
     c = from_env({"LAYOUT_NMS": "yes", "LAYOUT_THRESHOLD": "0.5", "MAX_UPLOAD_MB": "x", "USE_DOC_UNWARPING": "TRUE"})
     assert not c.pipeline.layout_nms and c.pipeline.layout_threshold == 0.5 and c.max_upload_mb == 20 and c.pipeline.use_unwarping
     assert PipelineConfig().layout_threshold == 0.3
+    assert from_env({"MAX_TOKENS": "-5"}).pipeline.max_tokens == 4096
+    assert (device(None), device(" CPU "), device("auto"), device("auto", ("cpu", "metal"))) == ("cpu", "cpu", "cpu", "metal")
+    for wrong in ("tpu", "cuda"):
+        with pytest.raises(ValueError, match="BACKEND"):
+            device(wrong)
     head = b'{"b":{},"a":{},"__metadata__":{}}'
     files = spark.createDataFrame([("m", bytearray(struct.pack("<Q", len(head)) + head + b"xx"))], "path string, content binary")
     assert [r.name for r in formats.tensor_names(files).collect()] == ["a", "b"]
@@ -167,6 +263,11 @@ def test_settings_and_formats(spark):
     have = spark.createDataFrame([("x", 2), ("y", 2)], "path string, length long")
     assert formats.first_missing(need, have).collect()[0].path == "z"
     assert {r.path for r in formats.skippable(need, have).where("skip").collect()} == {"x"}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.json").write_text('{\n "a": 1\n}')
+    assert [tuple(r) for r in formats.listing(spark, str(tmp_path)).collect()] == [("sub/c.json", 11)]
+    assert formats.json_object(spark, f"{tmp_path}/sub/", "c.json").collect()[0].a == 1
+    assert [tuple(r) for r in formats.manifest(spark, [("k", "x", None), ("k", "y", 3)]).collect()] == [("k", 0, "x", None), ("k", 1, "y", 3)]
     up = spark.createDataFrame([("a.jpg", bytearray(b"x")), ("a.bin", bytearray(b"\xff\xd8\xff\xe0")), ("b.bin", bytearray(b"zz")), (None, None)], "filename string, content binary")
     assert [r.status for r in formats.admitted(up, 1).collect()] == [200, 200, 415, 400]
     s = spark.createDataFrame([('{"a": 5}',), (None,)], "t string").select(formats.settings(F.col("t"), {"a": ("int", 1), "b": ("double", 0.5)}).alias("s")).collect()
@@ -186,6 +287,13 @@ def test_admission_against_simulation(spark):
                 ends.append(max([at, *busy]) + 2.0)
 
 
+def test_written_tables_can_be_dropped(spark):
+    df = tables.materialize(spark.range(3), "kept")
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 3 and os.path.isdir(path)
+    assert tables.drop_written(spark) >= 1 and not os.path.exists(path) and tables.drop_written(spark) == 0
+
+
 def test_plans(spark):
     df = _df(spark, [[("text", 1.0, 0, 0, 5, 5)]])
     text = lambda d: d._jdf.queryExecution().executedPlan().toString()
