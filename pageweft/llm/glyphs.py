@@ -17,19 +17,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import materialize
+
+#: Tasks that share the pairs of one class.
+SALTS = 8
+
 # Letters of other scripts that print like Latin letters.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο", "ABEZHIKMNOPTYXvo"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏѵ", "ABESIJKMHOPCTYXaesijopcyxhdqwlv"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹνοϲϳ", "ABEZHIKMNOPTYXJCvocj"))
+ARMENIAN = dict(zip("ԼՍՏՕհոսցօ", "LUSOhnugo"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᏀ", "ABCDEHJKLMPRSTVWZG"))
+COPTIC = dict(zip("ⲤⲞⲢⲎⲔⲘⲚⲦⲬⲥⲟ", "COPHKMNTXco"))
 # Characters without a width of their own.
 INVISIBLE = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 # Compatibility tags whose forms print like their plain form.
 ALIKE = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<small>")
 
-_TWINS = {"Cyrl": CYRILLIC, "Grek": GREEK}
+_TWINS = {"Cyrl": CYRILLIC, "Grek": GREEK, "Armn": ARMENIAN, "Cher": CHEROKEE, "Copt": COPTIC}
+_RANGES = {"Cyrl": [(0x400, 0x530)], "Grek": [(0x370, 0x400), (0x1F00, 0x2000)], "Armn": [(0x530, 0x590)], "Cher": [(0x13A0, 0x1400)], "Copt": [(0x2C80, 0x2D00)]}
 _BACK = {s: {v: k for k, v in m.items()} for s, m in _TWINS.items()}
 _TO_LATIN = {ord(k): v for m in _TWINS.values() for k, v in m.items()}
 _TOKEN = re.compile(r"[^\W\d_]+")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+_FOREIGN = re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for r in _RANGES.values() for a, b in r) + "]")
 _BLANKS = re.compile(r"[^\S\n]+")
 
 
@@ -40,6 +49,8 @@ class _Compat(dict):
         ch = chr(code)
         if ch in INVISIBLE:
             out = None
+        elif code in _TO_LATIN:
+            out = ch
         elif ch in "‐‑":
             out = "-"
         elif ch.isspace() and ch != "\n":
@@ -55,10 +66,9 @@ _COMPAT = _Compat()
 
 def _script(ch: str) -> str:
     code = ord(ch)
-    if 0x400 <= code < 0x530:
-        return "Cyrl"
-    if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000:
-        return "Grek"
+    for script, ranges in _RANGES.items():
+        if any(a <= code < b for a, b in ranges):
+            return script
     return "Latn" if code < 0x250 or 0x1E00 <= code < 0x1F00 else "Other"
 
 
@@ -116,7 +126,7 @@ def _resolve(text: str) -> tuple[str, int, int]:
         elif main in whole:
             whole_script += 1
             target = main
-        if target in ("Latn", "Cyrl", "Grek"):
+        if target == "Latn" or target in _TWINS:
             out += [text[at : m.start()], _respell(token, target)]
             at = m.end()
     return "".join([*out, text[at:]]), mixed, whole_script
@@ -187,18 +197,42 @@ def with_canonical(df: DataFrame, text: str | Column, prefix: str = "") -> DataF
     ).drop(tmp)
 
 
+def _hashed(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
+    """k, s, id, once each: 128-bit hashes of what a text prints as and of its stored string. Written, since pairs, classes
+    and spellings read it; the normaliser runs once."""
+    h = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
+    src = blocks.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null and t <> ''")
+    rows = with_canonical(src, "t").where("skeleton <> ''").select("id", h(F.col("skeleton")).alias("k"), h(F.col("t")).alias("s"))
+    return materialize(rows, "forms")
+
+
+def _spelt_differently(rows: DataFrame) -> DataFrame:
+    """The rows, once each, of classes with more than one stored string."""
+    spread = rows.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("k")
+    return rows.join(spread, "k", "left_semi").distinct()
+
+
 def alike_pairs(blocks: DataFrame, id_col: str = "block_id", text: str = "content") -> DataFrame:
     """Pairs of ids whose texts print alike while the stored strings differ: <id>_a < <id>_b.
 
     Texts travel as 128-bit hashes only. Classes in which every stored string is the same (the hot ones: empty and
     boilerplate texts) are dropped before any pair is made, repeated rows count once, and a pair is only built between
-    different spellings. Null and empty texts belong to no pair."""
-    h = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
-    src = blocks.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null and t <> ''")
-    rows = with_canonical(src, "t").where("skeleton <> ''").select("id", h(F.col("skeleton")).alias("k"), h(F.col("t")).alias("s"))
-    rows = rows.groupBy("k", "s", "id").agg(F.lit(1).alias("one")).drop("one")
-    spread = rows.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("k")
-    multi = rows.join(spread, "k", "left_semi")
-    a, b = multi.alias("a"), multi.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.s") != F.col("b.s")) & (F.col("a.id") < F.col("b.id")))
+    different spellings; a class is spread over SALTS tasks. Null and empty texts belong to no pair. Where classes are
+    large, ``alike_classes`` says the same in one row for each id."""
+    multi = materialize(_spelt_differently(_hashed(blocks, id_col, text)), "spellings")
+    a = multi.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("a")
+    b = multi.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
+    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.salt") == F.col("b.salt"))
+    pairs = a.join(b, same & (F.col("a.s") != F.col("b.s")) & (F.col("a.id") < F.col("b.id")))
     return pairs.select(F.col("a.id").alias(f"{id_col}_a"), F.col("b.id").alias(f"{id_col}_b")).distinct()
+
+
+def alike_classes(blocks: DataFrame, id_col: str = "block_id", text: str = "content") -> DataFrame:
+    """<id>, class_id, spelling_id, n_links of each id whose text is stored in other ways too: class_id is the smallest id
+    that prints alike, spelling_id the smallest with the same string, n_links how many ids differ from it in their string
+    alone. An id that was delivered with several strings has a row for each."""
+    multi = _spelt_differently(_hashed(blocks, id_col, text))
+    spellings = materialize(multi.groupBy("k", "s").agg(F.min("id").alias("spelling_id"), F.count("*").alias("n")), "spellings")
+    classes = spellings.groupBy("k").agg(F.min("spelling_id").alias("class_id"), F.sum("n").alias("n_all"))
+    told = spellings.join(classes, "k").select("k", "s", "class_id", "spelling_id", (F.col("n_all") - F.col("n")).alias("n_links"))
+    return multi.join(told, ["k", "s"]).select(F.col("id").alias(id_col), "class_id", "spelling_id", "n_links")

@@ -3,8 +3,8 @@
 Evidence is fused in log space: word likelihoods of the stretch, the declared language, the suffix of linked addresses
 and a prior of the record's host, which is smoothed towards its kind of record and towards the whole corpus by grouped
 aggregation. The word model is naive Bayes with a character back-off, fitted on at most ``per_language`` labelled rows
-of each language; rows that the first fit assigns elsewhere are left out of the second. Languages with a script of
-their own are told by script. Code, links, tables, lists and repetition are set aside before anything is scored.
+of each language; rows that the first fit assigns elsewhere are left out of the second. Where another script prevails,
+its letters are the likelihood, fused like that of words; text of none of the languages has a class of its own. Code, links, tables, lists and repetition are set aside before anything is scored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SUFFIXES = {
 DECLARED_RIGHT, SUFFIX_RIGHT, SMOOTHING = 0.85, 0.6, 50.0
 #: A stretch counts as prose of about a sentence from this many words (Han characters) and letters on.
 MIN_WORDS, MIN_LETTERS, MIN_HAN = 4, 18, 7
+#: Hosts whose priors (ten numbers each) are broadcast, at most; beyond, the tasks that share a host's texts.
+MAX_BROADCAST_HOSTS, SALTS = 50_000, 32
 #: Log-likelihood by which the best language must lead within a sentence.
 MARGIN = 3.0
 
@@ -52,6 +54,11 @@ _SENTENCE = re.compile(r"(?<=[.!?:;…])[\"'”’»)\]]*\s+|(?<=[。？！；
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _HAN, _CYRILLIC = re.compile(r"[㐀-鿿]"), re.compile(r"[Ѐ-ӿ]")
+_KANA, _RUSSIAN = re.compile(r"[぀-ヿ]"), re.compile(r"[а-яё]")
+#: Shares of letters (Han, kana, Russian, other Cyrillic, other) in text of a Latin language, of Russian, of Chinese, and of
+#: none of the languages: of another language with Cyrillic or with Han letters; and the share of these two.
+SCRIPT_SHARES = {"latin": (1e-4, 1e-4, 1e-4, 1e-4, 0.9996), "ru": (1e-4, 1e-4, 0.98, 1e-3, 0.0188), "zh": (0.96, 1e-4, 1e-4, 1e-4, 0.0397), "cyrillic": (1e-4, 1e-4, 0.85, 0.12, 0.0298), "han": (0.4, 0.5, 1e-4, 1e-4, 0.0998)}
+NONE_SHARE = 0.02
 
 
 def declared(lang: Column) -> Column:
@@ -71,6 +78,14 @@ def suffix_language(url: Column) -> Column:
     return out
 
 
+def suffix_of(urls: Column) -> Column:
+    """The language that most of a record's addresses point to by their suffix; of equals the later code. Null where none
+    points to any."""
+    found = F.array_compact(F.transform(urls, suffix_language))
+    counted = F.transform(F.array_distinct(found), lambda x: F.struct(F.size(F.filter(found, lambda y: y == x)).alias("n"), x.alias("lang")))
+    return F.array_max(counted)["lang"]
+
+
 def host_priors(records: DataFrame) -> DataFrame:
     """rec_kind, host, prior (array of LANGUAGES' length): label counts of a host, smoothed towards those of its kind,
     which are smoothed towards the corpus, which is smoothed towards even shares."""
@@ -228,7 +243,8 @@ class Scorer:
         """For each text its runs of sentences in one language: language, confidence, words, letters and whether they
         are prose. ``bias`` has the evidence beside the text, a row for each text."""
         owner: list[int] = []
-        script: list[int] = []  # 8 or 9, or -1: told by words
+        script: list[int] = []  # row of kinds, or -1: told by words
+        kinds: list[tuple[int, int, int, int, int]] = []
         letters: list[int] = []
         count: list[int] = []
         flat: list[int] = []
@@ -250,8 +266,10 @@ class Scorer:
                         latin = size - han - cyr
                         if (han or cyr) and (han * 2 > latin + cyr or cyr > latin):
                             zh = han * 2 > cyr
+                            kana, russian = len(_KANA.findall(seg)), len(_RUSSIAN.findall(seg))
                             owner.append(t)
-                            script.append(9 if zh else 8)
+                            script.append(len(kinds))
+                            kinds.append((han, kana, russian, cyr - russian, max(latin - kana, 0)))
                             letters.append(han if zh else cyr)
                             count.append(han if zh else len(words))
                             starts.append(len(flat))
@@ -283,9 +301,11 @@ class Scorer:
         p = 1.0 / np.exp(np.maximum(total - top[:, -1:], -700)).sum(1)
         told = np.array(script)
         by_script = told >= 0
-        lang = np.where(by_script, told, np.where(sure, best, -1)).tolist()
+        lang = np.where(sure, best, -1)
+        if kinds:
+            lang[by_script], p[by_script] = _by_script(np.array(kinds, float), bias[np.array(owner)[by_script]])
         seen = np.where(by_script, count, hit[np.arange(len(best)), best]).tolist()
-        p = np.where(by_script, 1.0, p).tolist()
+        lang, p = lang.tolist(), p.tolist()
         run, last = None, -1
         for t, x, q, n, size, h in zip(owner, lang, p, count, letters, seen):
             if t != last:
@@ -313,6 +333,17 @@ class Scorer:
         return lang, min(p, 0.9999), words, letters, prose
 
 
+def _by_script(kinds: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language of text in which another script than Latin prevails, -1 for none of them, and its probability: letters
+    by script and the evidence beside the text, fused."""
+    shares = np.log([SCRIPT_SHARES.get(x, SCRIPT_SHARES["latin"]) for x in [*LANGUAGES, "cyrillic", "han"]])
+    total = kinds @ shares.T + np.hstack([bias, np.full((len(bias), 2), math.log(NONE_SHARE))])
+    top = total.max(1, keepdims=True)
+    p = 1.0 / np.exp(np.maximum(total - top, -700)).sum(1)
+    best = total.argmax(1)
+    return np.where(best < len(LANGUAGES), best, -1), p
+
+
 def stretches(records: DataFrame, model: Model, min_letters: int = 0) -> DataFrame:
     """rec_kind, rec_id, declared, seq, lang, confidence, words, letters, prose: one row for each stretch in one language.
 
@@ -320,11 +351,14 @@ def stretches(records: DataFrame, model: Model, min_letters: int = 0) -> DataFra
     no stretch; a null host has an even prior. Columns beyond these are ignored. Records of fewer than ``min_letters`` letters have none."""
     records = records.select("rec_kind", "rec_id", "host", "declared", "suffix", "text")
     shared = records.sparkSession.sparkContext.broadcast(model)
-    # written, the priors have a known size: few hosts are broadcast, many are joined by a shuffle
     priors = materialize(host_priors(records), "priors")
-    rows = records.join(priors, ["rec_kind", "host"], "left").select(
-        "rec_kind", "rec_id", "declared", "suffix", "prior", "text"
-    )
+    if priors.count() <= MAX_BROADCAST_HOSTS:
+        rows = records.join(F.broadcast(priors), ["rec_kind", "host"], "left")
+    else:  # a host may hold a third of the texts: its rows are spread over SALTS tasks
+        priors = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int")
+        rows = records.withColumn("salt", salt).join(priors, ["rec_kind", "host", "salt"], "left")
+    rows = rows.select("rec_kind", "rec_id", "declared", "suffix", "prior", "text")
 
     def run(batches):
         import pyarrow as pa

@@ -2,8 +2,9 @@
 
 Partitions of bounded size are packed by best-fit decreasing. Lower bounds from dual feasible functions certify a
 partition whose number of containers can't be lowered; the others, and the containers with gaps of certified ones,
-exchange their texts in fewer and larger pools, which are packed again, until nobody is left to exchange with. A text is split only where it alone exceeds
-the capacity: into full pieces, which need a container each, and a rest.
+exchange their texts in fewer and larger pools, which are packed again as long as that saves containers; a pool keeps
+what it had where packing again would need more. A text is split only where it alone exceeds the capacity: into full
+pieces, which need a container each, and a rest.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialize
 from . import tokens
 
-#: Items packed in one task at first; rounds of exchange, in each of which the pools may be twice as large; the share of
-#: its capacity that a container of a certified partition may leave empty without being packed again.
-ITEMS_PER_PARTITION, MAX_ROUNDS, GAP = 50_000, 4, 0.02
+#: Items packed in one task at first; how often that may double from round to round; the share of its capacity that a
+#: container of a certified partition may leave empty without being packed again.
+ITEMS_PER_PARTITION, DOUBLINGS, GAP = 50_000, 3, 0.02
 
 _COUNTERS: dict[str, object] = {}
 
@@ -128,47 +129,64 @@ def _pack(round_no: int):
         order = np.lexsort((t.column("piece").to_numpy(), t.column("id").to_numpy(), -size))
         t, size = t.take(pa.array(order)), size[order]
         bins = best_fit_decreasing(size, capacity)
+        part, before = key[1].as_py(), t.column("bin").to_pylist()
+        names = [f"{round_no}-{part}-{b}" for b in bins]
+        if before[0] is not None and bins.max() + 1 > len(set(before)):  # what there was is better
+            names = before
+            bins = np.unique(before, return_inverse=True)[1]
         fill = np.bincount(bins, weights=size).astype(int)
-        certified = len(fill) <= max(lower_bound(size, capacity), 1)
-        part = key[1].as_py()
-        names = pa.array([f"{round_no}-{part}-{b}" for b in bins])
-        room = pa.array((capacity - fill[bins]).astype("int32"))
-        return t.select(["container_id", "capacity", "id", "piece", "size"]).append_column("bin", names).append_column("room", room).append_column("certified", pa.array([certified] * len(bins)))
+        bound = max(lower_bound(size, capacity), 1)
+        same = lambda x, kind: pa.array([x] * len(bins), kind)
+        out = t.select(["container_id", "capacity", "id", "piece", "size"]).append_column("bin", pa.array(names))
+        out = out.append_column("room", pa.array((capacity - fill[bins]).astype("int32"))).append_column("certified", same(len(fill) <= bound, pa.bool_()))
+        return out.append_column("pool", same(f"{round_no}-{part}", pa.string())).append_column("pool_bins", same(len(fill), pa.int32())).append_column("pool_bound", same(bound, pa.int32()))
 
     return run
 
 
-_PACKED = "container_id int, capacity int, id long, piece int, size int, bin string, room int, certified boolean"
+_PACKED = "container_id int, capacity int, id long, piece int, size int, bin string, room int, certified boolean, pool string, pool_bins int, pool_bound int"
 
 
 def fill(items: DataFrame, per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
-    """container_id, capacity, id, piece, size, bin, room: each item in a container (bin) of its kind.
+    """container_id, capacity, id, piece, size, bin, room, certified, pool, pool_bins, pool_bound: each item in a container
+    (bin) of its kind, with the pool in which it was packed last, the containers that this pool took, and the fewest that
+    any packing of the pool can take; certified where the two are equal.
 
     Ids repeated whole count once; items of size 0 go where they fit. An empty input has an empty result."""
-    left = materialize(items.dropDuplicates(["container_id", "id", "piece"]), "items")
-    done = None
-    for round_no in range(MAX_ROUNDS):
-        n = {r["container_id"]: r["n"] for r in left.groupBy("container_id").agg(F.count("*").alias("n")).collect()}  # kinds are few
-        if not n:
+    left = items.dropDuplicates(["container_id", "id", "piece"]).withColumn("bin", F.lit(None).cast("string"))
+    left = materialize(left.select("container_id", "capacity", "id", "piece", "size", "bin"), "items")
+    done, round_no = None, 0
+    while True:
+        counts = left.groupBy("container_id").agg(F.count("*").alias("n"), F.countDistinct("bin").alias("bins")).collect()  # kinds are few
+        if not counts:
             break
-        parts = {c: -(-k // (per_partition << round_no)) for c, k in n.items()}  # pools grow, at most eightfold
+        parts = {r["container_id"]: -(-r["n"] // (per_partition << min(round_no, DOUBLINGS))) for r in counts}
         share = F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(p))])
-        part = F.pmod(F.xxhash64("id", "piece", F.lit(round_no)), share[F.col("container_id")]).cast("int")
-        packed = left.withColumn("part", part).groupBy("container_id", "part").applyInArrow(_pack(round_no), _PACKED)
-        packed = materialize(packed, "packed")
-        last = round_no == MAX_ROUNDS - 1
-        alone = [c for c, p in parts.items() if p == 1] if not last else [*parts]
-        # pools of one partition have nobody left to exchange with
+        # what shares a container stays together, so that a pool knows what it had
+        own = F.coalesce(F.xxhash64("bin", F.lit(round_no)), F.xxhash64("id", "piece")) if round_no else F.xxhash64("id", "piece")
+        part = F.pmod(own, share[F.col("container_id")]).cast("int")
+        packed = materialize(left.withColumn("part", part).groupBy("container_id", "part").applyInArrow(_pack(round_no), _PACKED), "packed")
+        now = {r["container_id"]: r["bins"] for r in packed.groupBy("container_id").agg(F.countDistinct("bin").alias("bins")).collect()}
+        # pools of one partition have nobody left to exchange with; other kinds go on while that saves containers
+        alone = [r["container_id"] for r in counts if parts[r["container_id"]] == 1 or round_no and now[r["container_id"]] >= r["bins"]]
         settled = (F.col("certified") & (F.col("room") <= GAP * F.col("capacity"))) | F.col("container_id").isin(alone)
-        fixed = packed.where(settled).drop("certified")
+        fixed = packed.where(settled)
         done = fixed if done is None else done.unionByName(fixed)
-        left = packed.where(~settled).drop("certified", "bin", "room")
-    return done if done is not None else left.withColumn("bin", F.lit("")).withColumn("room", F.lit(0))
+        left = packed.where(~settled).select(left.columns)
+        round_no += 1
+    return done if done is not None else items.sparkSession.createDataFrame([], _PACKED)
 
 
 def report(filled: DataFrame) -> DataFrame:
-    """For each kind of container: items, tokens, containers used, the least that their total size allows, share filled."""
-    bins = filled.groupBy("container_id", "capacity", "bin").agg(F.count("*").alias("items"), F.sum("size").alias("tokens"))
-    out = bins.groupBy("container_id", "capacity").agg(F.sum("items").alias("n_items"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_bins"))
+    """For each kind of container: items, tokens, containers used, share filled, the least that the total size allows, and
+    of the pools that were packed last their number, the certified ones, and the containers beyond the bounds of the
+    others."""
+    bins = filled.groupBy("container_id", "capacity", "pool", "pool_bins", "pool_bound", "bin").agg(F.count("*").alias("items"), F.sum("size").alias("tokens"))
+    pools = bins.groupBy("container_id", "capacity", "pool", "pool_bins", "pool_bound").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count("*").alias("bins"))
+    over = F.col("pool_bins") - F.col("pool_bound")
+    out = pools.groupBy("container_id", "capacity").agg(
+        F.sum("items").alias("n_items"), F.sum("tokens").alias("n_tokens"), F.sum("bins").alias("n_bins"),
+        F.count("*").alias("n_pools"), F.count(F.when(over == 0, 1)).alias("n_certified"), F.sum(over).cast("long").alias("beyond_bounds"),
+    )
     out = out.withColumn("least_bins", F.ceil(F.col("n_tokens") / F.col("capacity")))
     return out.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6))

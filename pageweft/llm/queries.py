@@ -24,7 +24,7 @@ def _records(spark: SparkSession, base: str) -> DataFrame:
     )
     d = table(spark, base, "documents").select(
         F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), F.col("source").alias("host"), lang,
-        language.suffix_language(F.try_element_at("links", F.lit(1))["url"]).alias("suffix"), "text",
+        language.suffix_of(F.transform("links", lambda x: x["url"])).alias("suffix"), "text",
     )
     return b.unionByName(d)
 
@@ -56,6 +56,10 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return glyphs.alike_pairs(table(spark, base, "blocks"))
 
 
+def p3_classes(spark: SparkSession, base: str) -> DataFrame:
+    return glyphs.alike_classes(table(spark, base, "blocks"))
+
+
 def p3_canonical(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "blocks").select("block_id", "content")
     out = glyphs.with_canonical(rows, "content").select("block_id", "canonical", "mixed_tokens", "whole_tokens")
@@ -129,7 +133,7 @@ def p8_composition(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p6_texts, p7_containers, p7_report, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_sources, p3_found, p3_classes, p3_canonical, p4_found, p4_text, p5_found, p5_stats, p6_ids, p6_texts, p7_containers, p7_report, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -57,9 +57,36 @@ def test_priors_sum_to_one(spark, corpus):
         assert abs(sum(r.prior) - 1) < 1e-5 and r.prior[0] > r.prior[9]
 
 
+HELD_OUT = {
+    "en": ["The office has told me that the bus is closed.", "What have you read in the old path with this tram?"],
+    "de": ["Was ist das für ein Weg, der nicht zu dem Bus gehört?", "Ich habe niemand gesagt, dass die Tische heute alt sind."],
+    "fr": ["La chaise est vieille et le chemin ne va pas pour vous.", "Quelle personne a lu que le train est fermé ?"],
+    "es": ["El camino no está con la silla de esta semana.", "Nadie ha leído cuál es la diferencia entre las mesas."],
+    "ru": ["Сегодня старая дорога стоит рядом со столом."],
+    "zh": ["今天我没有读过这把旧椅子的消息。"],
+}
+
+
 def test_held_out_accuracy(spark, corpus):
     model = language.fit(corpus)
-    rows = [("document", i, "h0", None, None, t) for i, t in enumerate(t for x in ("en", "de", "fr", "es") for t in SENTENCES[x])]
+    rows = [("document", i, "h0", None, None, t) for i, t in enumerate(t for x in HELD_OUT.values() for t in x)]
     out = language.stretches(spark.createDataFrame(rows, corpus.schema), model).collect()
-    right = {i: x for i, x in enumerate(x for x in ("en", "de", "fr", "es") for _ in SENTENCES[x])}
-    assert sum(right[r.rec_id] == r.lang for r in out) >= 0.9 * len(rows)
+    right = {i: x for i, x in enumerate(x for x, t in HELD_OUT.items() for _ in t)}
+    assert len(out) == len(rows) and sum(right[r.rec_id] == r.lang for r in out) >= 0.9 * len(rows)
+
+
+def test_scripts_are_evidence_not_proof(spark, corpus, monkeypatch):
+    texts = ["今日はとてもいい天気ですから、公園を散歩しましょう。", "Це речення написано українською мовою, їжак і ґава є тут.", "Никто не сказал мне, что дорога сегодня закрыта."]
+    rows = [("document", i, None, d, None, t) for i, (t, d) in enumerate((t, d) for t in texts for d in (None, "ru"))]
+    df = spark.createDataFrame(rows, corpus.schema)
+    model = language.fit(corpus)
+    got = {(r.rec_id, r.lang) for r in language.stretches(df, model).collect()}
+    assert got == {(4, "ru"), (5, "ru")}
+    monkeypatch.setattr(language, "MAX_BROADCAST_HOSTS", 0)
+    assert {(r.rec_id, r.lang) for r in language.stretches(df, model).collect()} == got
+
+
+def test_suffixes_of_all_links(spark):
+    rows = [(["http://a.com", "http://b.de/x", "http://c.fr", "http://d.de"],), ([None, "http://c.pl"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "u array<string>")
+    assert [r[0] for r in df.select(language.suffix_of(F.col("u"))).collect()] == ["de", "pl", None, None]

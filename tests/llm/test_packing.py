@@ -51,4 +51,18 @@ def test_fill(spark):
             assert sum(k[0] == c for k in used) <= 1.02 * packing.lower_bound(size, cap) + 1
     assert packing.fill(items.limit(0)).count() == 0
     rep = {r.container_id: r for r in packing.report(packing.fill(items)).collect()}
-    assert rep[1].n_bins >= rep[1].least_bins and rep[1].filled > 0.95
+    assert rep[1].n_bins >= rep[1].least_bins and rep[1].filled > 0.95 and rep[1].n_pools == 1
+    assert (rep[1].beyond_bounds == 0) == (rep[1].n_certified == 1)
+
+
+def test_exchange_never_costs_containers(spark):
+    r = np.random.default_rng(4)
+    rows = [(1, 100, i, 0, int(s)) for i, s in enumerate(r.integers(26, 60, 3000))]
+    items = spark.createDataFrame(rows, "container_id int, capacity int, id long, piece int, size int")
+    once = len({(p, b) for p in range(30) for b in packing.best_fit_decreasing(np.sort([x[4] for x in rows if x[2] % 30 == p])[::-1], 100)})
+    out = packing.fill(items, 100).collect()
+    fills = {}
+    for x in out:
+        fills[x.bin] = fills.get(x.bin, 0) + x.size
+    assert len(out) == 3000 and max(fills.values()) <= 100 and len(fills) <= once
+    assert all(x.pool_bins >= x.pool_bound and x.certified == (x.pool_bins == x.pool_bound) for x in out)
