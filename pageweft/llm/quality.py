@@ -1,7 +1,10 @@
 """Problem 5: text statistics of each document and a verdict of prose, list, table or junk.
 
-Everything is a built-in column expression: one scan, no shuffle, no Python. The verdict applies fixed thresholds, and
-each failed rule leaves its name in ``reasons``. Null text counts as empty: zero statistics, verdict prose, no reasons.
+Everything is a built-in column expression: one scan, no shuffle, no Python. The fixed-threshold rules published for
+filtering web text (Rae et al. 2021, "Scaling Language Models", appendix A; sentences: Raffel et al. 2020, "Exploring the
+Limits of Transfer Learning", section 2.2) come first; each that a text fails leaves its
+name, rule:…, in ``reasons``. A text that passes them all is prose. What another is, if not merely short prose, is told
+by rules of kind, table:…, list:… and junk:…, which leave their names too. Null text counts as empty: zero statistics, verdict prose, no reasons.
 """
 
 from __future__ import annotations
@@ -30,6 +33,12 @@ BLANK = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 WRONG_DECODE = "ÃÂâÐÑ€œ™žŸ¢¤©¬°�"
 
 
+#: The published thresholds: words of a document, letters of a word, symbols (# and ellipses) for each word, shares of
+#: lines that begin with a bullet or end in an ellipsis, share of words with a letter, stop words, and share of the text in
+#: repeated sequences of five words (here: of these sequences themselves); sentences.
+WORDS, WORD_LENGTH, SYMBOLS_PER_WORD, BULLET_LINES, ELLIPSIS_LINES, LETTER_WORDS, STOP_WORDS, REPEATED, SENTENCES = (50, 100_000), (3.0, 10.0), 0.1, 0.9, 0.3, 0.8, 2, 0.15, 3
+
+
 def _n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -90,6 +99,10 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
         "n_markup_cells": F.when(base.contains("<"), _n(base, r"(?i)</?(?:table|tr|td|th)\b")).otherwise(0),
         "n_pipe_lines": F.when(base.contains("|"), _n(base, r"(?m)^\s*\|.*\|.*$")).otherwise(0),
         "n_leaders": F.when(base.contains("...."), _n(base, r"(?m)\.{4,}[^\S\n]*[0-9]+[^\S\n]*$")).otherwise(0),
+        "n_tokens": _n(base, r"\S+"),
+        "n_letter_tokens": _n(base, r"\p{L}\S*"),
+        "n_marks": F.when(base.contains("#"), _without(base, "#")).otherwise(0) + F.when(base.contains("...") | base.contains("…"), _n(base, r"\.{3,}|…")).otherwise(0),
+        "n_ellipsis_lines": F.when(base.contains("...") | base.contains("…"), _n(base, r"(?m)(?:\.{3}|…)[^\S\n]*$")).otherwise(0),
         "n_first_char": n_chars - F.length(F.replace(base, F.substring(base, 1, 1), F.lit(""))),
     }
     out = fence(out, "__plain", {k: v.cast("int") for k, v in plain.items()})
@@ -98,7 +111,10 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
     odd = (p("n_common") < 0.4 * p("n_words")) | (p("n_sentences") == 0)
     few = p("n_distinct") <= 0.6 * F.least(p("n_words"), F.lit(120))
     neighbours = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n_words, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    many = (p("n_words") >= 20) & (p("n_distinct") <= 0.6 * p("n_words"))
+    fives = F.transform(F.sequence(F.lit(1), F.greatest(n_words - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(5))))
     special = {
+        "n_fives": F.when(many, F.size(F.array_distinct(fives))).otherwise(F.greatest(p("n_words") - 4, F.lit(0))),
         "n_pairs": F.when(few, F.size(F.array_distinct(neighbours))).otherwise(p("n_words")),
         "n_cells": F.when(
             odd, _n(base, r"(?m)(?:[;,\t|]|  +)(?:[-+]?[0-9][0-9.]*%?|n/a|-)(?=[;,\t|]|  |$)|[;,\t|](?=[;,\t|])")
@@ -137,6 +153,24 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
         "common_ratio": F.round(common, 4),
     }
     out = out.withColumns(ratios)
+    # Han text has no blanks between words: each character counts as one, and its length says nothing
+    is_han = s("n_han") * 2 > s("n_letters")
+    words = F.when(is_han, s("n_han")).otherwise(s("n_tokens"))
+    length = _per(body, s("n_tokens"))
+    again = F.greatest(s("n_words") - 4, F.lit(0)) - s("n_fives")
+    published = {
+        "rule:word_count": ~words.between(*WORDS),
+        "rule:mean_word_length": ~is_han & ~length.between(*WORD_LENGTH),
+        "rule:symbols": s("n_marks") > SYMBOLS_PER_WORD * words,
+        "rule:bullet_lines": s("n_bullets") > BULLET_LINES * s("n_lines"),
+        "rule:ellipsis_lines": s("n_ellipsis_lines") > ELLIPSIS_LINES * s("n_lines"),
+        "rule:letter_words": s("n_letter_tokens") < LETTER_WORDS * s("n_tokens"),
+        "rule:stop_words": s("n_common") + s("n_han_common") < STOP_WORDS,
+        "rule:sentences": s("n_sentences") < SENTENCES,
+        "rule:repetition": again > REPEATED * (s("n_words") - 4),
+    }
+    out = fence(out, "__failed", {"r": F.array_compact(F.array(*[F.when(v & (s("n_chars") > 0), F.lit(k)) for k, v in published.items()]))})
+    failed = F.col("__failed.r")
     big = body >= 12
     spread = s("n_words") / F.greatest(s("n_lines"), F.lit(1))
     rules = {
@@ -147,6 +181,7 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
         "junk:one_character": (body >= 20) & (s("n_first_char") >= 0.8 * body),
         "junk:repetition": ((s("n_words") >= 8) & (s("n_pairs") < F.when((s("n_words") < 20) & (s("n_distinct") <= 6), 0.6).otherwise(0.35) * F.least(s("n_words"), F.lit(200)))
         & (s("n_cells") < s("n_lines")) & (s("n_bullets") < 2)) | ((s("n_han") >= 24) & (distinct <= 0.2)),
+        "junk:repeated_passages": (s("n_words") >= 40) & (again >= 0.6 * (s("n_words") - 4)) & (s("n_cells") < s("n_lines")) & (s("n_bullets") < 2),
         "junk:no_vowels": (s("n_words") >= 3) & (s("n_no_vowel") > 0.5 * latin_words) & (F.col("common_ratio") < 0.3),
         "junk:letter_digit_mix": (s("n_mixed") >= 3) & (s("n_mixed") >= 0.3 * (s("n_space") + 1)) & (F.col("common_ratio") < 0.3),
         "junk:endless_token": (body >= 40) & (s("n_space") < 0.02 * s("n_chars")) & (s("n_han") < 0.3 * body)
@@ -161,9 +196,10 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
         & ((s("n_sentences") == 0) | ((s("n_sentences") <= 1) & F.coalesce(F.col(text), F.lit("")).rlike(r"(?:…|\.\.\.)$")))
         & (s("n_words") < 5 * (s("n_separators") + 1)) & (F.col("common_ratio") < 0.4) & (s("n_code") <= 2),
     }
-    out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()])))
-    first = F.split(F.try_element_at("reasons", F.lit(1)), ":")[0]
-    return out.withColumn("kind", F.coalesce(first, F.lit("prose")))
+    kinds = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
+    out = fence(out, "__kinds", {"k": F.when(F.size(failed) > 0, kinds).otherwise(F.array().cast("array<string>"))})
+    first = F.split(F.try_element_at("__kinds.k", F.lit(1)), ":")[0]
+    return out.withColumn("reasons", F.concat(failed, F.col("__kinds.k"))).withColumn("kind", F.coalesce(first, F.lit("prose"))).drop("__failed", "__kinds")
 
 
 REPORT = ["word_count", "mean_word_length", "symbol_ratio", "line_end_ratio", "common_ratio", "kind", "reasons"]

@@ -31,7 +31,27 @@ def test_verdicts(spark):
     out = {r.block_id: r for r in quality.report(df, ["block_id"], "content").collect()}
     assert {t: out[i].kind for i, t in enumerate(CASES)} == CASES
     assert out[900].kind == "prose" and out[900].word_count == 0 and out[900].reasons == []
-    assert out[901].kind == "junk" and out[901].reasons[0] == "junk:repetition"
+    assert out[901].kind == "junk" and {"rule:stop_words", "rule:repetition", "junk:repetition", "junk:repeated_passages"} <= set(out[901].reasons)
     found = quality.misfits(df.unionByName(df), ["text"]).collect()
     assert len(found) == len({r.block_id for r in found}) == sum(k != "prose" for k in CASES.values()) + 1
     assert quality.misfits(df.limit(0), ["text"]).count() == 0
+
+
+def test_published_rules(spark):
+    prose = (
+        "The long answer depends on the tide gauge, and it took me four weeks to see why. Nobody keeps old lamps in that boat house any more. "
+        "When it rains, water runs down every wall and collects under an iron stove by the door. My brother said that he would paint all of it "
+        "before winter; I have my doubts. A road which leads to our village was closed for most of May, so we walked across the fields instead."
+    )
+    names = "lamp door boat road tree stone river cloud table chair glass paper wheel horse bridge tower garden".split()
+    passage = " ".join(f"{a}{b}" for a in names for b in ("ing", "ed", "er", "est", "ful"))  # 85 different words
+    cases = {
+        0: (prose, set(), "prose"), 1: ("The tide is in.", {"rule:word_count", "rule:sentences"}, "prose"), 2: (prose.replace(" the ", " # # # # # # # # ").replace("it", "# # # # # # #"), {"rule:symbols", "rule:letter_words"}, "prose"),
+        3: ("\n".join(f"- {x}..." for x in prose.split(".") if x.strip()), {"rule:bullet_lines", "rule:ellipsis_lines"}, None), 4: (f"the of {passage} " * 8, {"rule:repetition"}, "junk"),
+        5: (prose.replace(" ", "xxxxxxxxxxxx "), {"rule:mean_word_length"}, None),
+    }
+    df = spark.createDataFrame([(i, c[0]) for i, c in cases.items()], "id long, t string")
+    for r in quality.report(df, ["id"], "t").collect():
+        _, rules, kind = cases[r.id]
+        assert rules <= set(r.reasons) and (rules or not r.reasons), (r.id, r.reasons)
+        assert kind in (None, r.kind), (r.id, r.kind, r.reasons)
