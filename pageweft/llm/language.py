@@ -70,20 +70,28 @@ def declared(lang: Column) -> Column:
     return out
 
 
-def suffix_language(url: Column) -> Column:
-    top = F.regexp_extract(F.lower(url), r"^[a-z]+://[^/:?#]*\.([a-z]{2})(?:[:/?#]|$)", 1)
+def _suffix(url: Column) -> Column:
+    return F.regexp_extract(F.lower(url), r"^[a-z]+://[^/:?#]*\.([a-z]{2})(?:[:/?#]|$)", 1)
+
+
+def _of_suffix(top: Column) -> Column:
     out = F.lit(None).cast("string")
     for code, names in SUFFIXES.items():
         out = F.when(top.isin(names.split()), code).otherwise(out)
     return out
 
 
+def suffix_language(url: Column) -> Column:
+    return _of_suffix(_suffix(url))
+
+
 def suffix_of(urls: Column) -> Column:
     """The language that most of a record's addresses point to by their suffix; of equals the later code. Null where none
     points to any."""
-    found = F.array_compact(F.transform(urls, suffix_language))
-    counted = F.transform(F.array_distinct(found), lambda x: F.struct(F.size(F.filter(found, lambda y: y == x)).alias("n"), x.alias("lang")))
-    return F.array_max(counted)["lang"]
+    found = F.array_compact(F.transform(F.transform(urls, _suffix), _of_suffix))
+    count = lambda f: F.transform(F.array_distinct(f), lambda x: F.struct(F.size(F.filter(f, lambda y: y == x)).alias("n"), x.alias("lang")))
+    counted = F.transform(F.array(found), lambda f: F.array_max(count(f)))  # an array of one: the suffixes are read once
+    return F.when(F.size(urls) > 0, counted[0]["lang"])
 
 
 def host_priors(records: DataFrame) -> DataFrame:

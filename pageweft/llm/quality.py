@@ -28,7 +28,7 @@ HAN_COMMON = "的了是不在有和就我这对都为也来到说们要"
 # Characters that stand for symbols rather than text or its punctuation.
 SYMBOLS = "#$%&*+/<=>@[\\]^_`{|}~¤°©¬™€¢®§¶±�■□▪"
 # Blanks.
-BLANK = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+WIDE_BLANK = r"[\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 # Characters that fill text decoded with the wrong table.
 WRONG_DECODE = "ÃÂâÐÑ€œ™žŸ¢¤©¬°�"
 
@@ -52,6 +52,23 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def _wide(text: Column) -> Column:
+    """Whether there are other characters than ASCII."""
+    return F.octet_length(text) > F.length(text)
+
+
+def _blanks(text: Column) -> Column:
+    """How many blanks are in ``text``; usual ones are counted without a pattern."""
+    plain = sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in " \n\t"), F.lit(0))
+    rare = F.when(text.contains("\r") | text.contains("\x0b") | text.contains("\x0c"), _n(text, r"[\x0b\f\r]")).otherwise(0)
+    return plain + rare + F.when(_wide(text), _n(text, WIDE_BLANK)).otherwise(0)
+
+
+def _symbols(text: Column) -> Column:
+    plain, wide = ("".join(c for c in SYMBOLS if (ord(c) < 128) == ascii_) for ascii_ in (True, False))
+    return _n(text, _any_of(plain)) + F.when(_wide(text), _n(text, _any_of(wide))).otherwise(0)
+
+
 def _per(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -87,8 +104,8 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
         "n_letters": letters,
         "n_han": han,
         "n_digits": _n(base, "[0-9]"),
-        "n_space": _n(base, BLANK),
-        "n_symbols": _n(base, _any_of(SYMBOLS)),
+        "n_space": _blanks(base),
+        "n_symbols": _symbols(base),
         "n_distinct": F.size(F.array_distinct(w)),
         "n_common": F.size(F.filter(w, lambda x: x.isin(COMMON_WORDS))),
         "n_han_common": F.when(han > 0, _without(base, HAN_COMMON)).otherwise(0),
@@ -103,24 +120,24 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
         "n_letter_tokens": _n(base, r"\p{L}\S*"),
         "n_marks": F.when(base.contains("#"), _without(base, "#")).otherwise(0) + F.when(base.contains("...") | base.contains("…"), _n(base, r"\.{3,}|…")).otherwise(0),
         "n_ellipsis_lines": F.when(base.contains("...") | base.contains("…"), _n(base, r"(?m)(?:\.{3}|…)[^\S\n]*$")).otherwise(0),
-        "n_first_char": n_chars - F.length(F.replace(base, F.substring(base, 1, 1), F.lit(""))),
     }
     out = fence(out, "__plain", {k: v.cast("int") for k, v in plain.items()})
     p = lambda k: F.col("__plain")[k]
-    # the rest only matters to rules about text of few common words, or without sentences
-    odd = (p("n_common") < 0.4 * p("n_words")) | (p("n_sentences") == 0)
+    # the rest is only asked for by rules about text of few common words, or without sentences, or that repeats
     few = p("n_distinct") <= 0.6 * F.least(p("n_words"), F.lit(120))
-    neighbours = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n_words, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     many = (p("n_words") >= 20) & (p("n_distinct") <= 0.6 * p("n_words"))
+    odd = (p("n_common") < 0.4 * p("n_words")) | (p("n_sentences") == 0)
+    neighbours = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n_words, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     fives = F.transform(F.sequence(F.lit(1), F.greatest(n_words - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(5))))
     special = {
+        "n_first_char": F.when(p("n_common") < 0.4 * p("n_words") + 1, n_chars - F.length(F.replace(base, F.substring(base, 1, 1), F.lit("")))).otherwise(0),
         "n_fives": F.when(many, F.size(F.array_distinct(fives))).otherwise(F.greatest(p("n_words") - 4, F.lit(0))),
         "n_pairs": F.when(few, F.size(F.array_distinct(neighbours))).otherwise(p("n_words")),
         "n_cells": F.when(
-            odd, _n(base, r"(?m)(?:[;,\t|]|  +)(?:[-+]?[0-9][0-9.]*%?|n/a|-)(?=[;,\t|]|  |$)|[;,\t|](?=[;,\t|])")
+            odd & (few | many | (p("n_lines") >= 2)), _n(base, r"(?m)(?:[;,\t|]|  +)(?:[-+]?[0-9][0-9.]*%?|n/a|-)(?=[;,\t|]|  |$)|[;,\t|](?=[;,\t|])")
         ).otherwise(0),
-        "n_separators": F.when(odd, _n(base, r"[,;/|·、，]\s|、|，| - ")).otherwise(0),
-        "n_code": F.when(odd, _n(base, r"[{}()=]|--|::|->|;$")).otherwise(0),
+        "n_separators": F.when(odd & (p("n_lines") <= 2), _n(base, r"[,;/|·、，]\s|、|，| - ")).otherwise(0),
+        "n_code": F.when(odd & ((p("n_lines") <= 2) | (p("n_sentences") == 0)), _n(base, r"[{}()=]|--|::|->|;$")).otherwise(0),
         "n_no_vowel": F.when(
             p("n_common") < 0.3 * p("n_words"), _n(F.lower(base), r"(?<![\p{L}'’])[bcdfghjklmnpqrstvwxz]{2,}(?![\p{L}'’.])")
         ).otherwise(0),
