@@ -63,11 +63,12 @@ NONE_SHARE = 0.02
 
 def declared(lang: Column) -> Column:
     """The code of a language named in any usual spelling; null where it names none of the languages."""
-    key = F.regexp_replace(F.lower(F.trim(lang)), r"[-_.].*$", "")
-    out = F.lit(None).cast("string")
-    for code, names in SPELLINGS.items():
-        out = F.when(key.isin(names.split()), code).otherwise(out)
-    return out
+    return _looked_up(F.regexp_replace(F.lower(F.trim(lang)), r"[-_.].*$", ""), SPELLINGS)
+
+
+def _looked_up(key: Column, names: dict[str, str]) -> Column:
+    """The code among whose names ``key`` is, read once; null where it is none's."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for code, all_ in names.items() for name in all_.split() for x in (name, code)]), key)
 
 
 def _suffix(url: Column) -> Column:
@@ -75,10 +76,7 @@ def _suffix(url: Column) -> Column:
 
 
 def _of_suffix(top: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for code, names in SUFFIXES.items():
-        out = F.when(top.isin(names.split()), code).otherwise(out)
-    return out
+    return _looked_up(top, SUFFIXES)
 
 
 def suffix_language(url: Column) -> Column:
@@ -200,9 +198,8 @@ def fit(records: DataFrame, per_language: int = 2500, max_words: int = 60000) ->
     labelled = records.where("declared is not null and length(text) between 40 and 5000")
     n = {r["declared"]: r["n"] for r in records.groupBy("declared").agg(F.count("*").alias("n")).collect() if r["declared"]}
     u = F.pmod(F.xxhash64("rec_kind", "rec_id"), F.lit(1_000_003)) / 1_000_003.0
-    keep = F.lit(False)
-    for i, x in enumerate(LANGUAGES[:LATIN]):
-        keep = F.when(F.col("declared") == x, u < per_language / max(n.get(x, 0), 1)).otherwise(keep)
+    share = F.create_map(*[F.lit(v) for x in LANGUAGES[:LATIN] for v in (x, per_language / max(n.get(x, 0), 1))])
+    keep = u < F.try_element_at(share, F.col("declared"))
     # rows beyond the bound can only come from chance in the hash
     sample = labelled.where(keep).select("text", "declared").limit(2 * LATIN * per_language).toPandas()
     rows = [(t, LANGUAGES.index(x)) for t, x in zip(sample["text"], sample["declared"])]

@@ -105,7 +105,6 @@ def with_stats(df: DataFrame, text: str) -> DataFrame:
         "n_han": han,
         "n_digits": _n(base, "[0-9]"),
         "n_space": _blanks(base),
-        "n_symbols": _symbols(base),
         "n_distinct": F.size(F.array_distinct(w)),
         "n_common": F.size(F.filter(w, lambda x: x.isin(COMMON_WORDS))),
         "n_han_common": F.when(han > 0, _without(base, HAN_COMMON)).otherwise(0),
@@ -165,7 +164,7 @@ def with_verdict(df: DataFrame, text: str) -> DataFrame:
     ratios = {
         "word_count": s("n_words"),
         "mean_word_length": F.round(_per(s("n_letters"), s("n_words")), 4),
-        "symbol_ratio": F.round(_per(s("n_symbols"), body), 4),
+        "symbol_ratio": F.round(_per(_symbols(F.coalesce(F.col(text), F.lit(""))), body), 4),
         "line_end_ratio": F.round(_per(s("n_end_lines"), s("n_lines")), 4),
         "common_ratio": F.round(common, 4),
     }
