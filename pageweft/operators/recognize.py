@@ -82,16 +82,17 @@ def recognized(blocks: DataFrame, config, make: Callable[[], ModelBackend], pixe
 
         backend = loaded(code)
         for b in batches:
+            ids, pos, said = [], [], []
             for i in range(b.num_rows):  # a page at a time: its pixels are the largest thing here
-                row = b.slice(i, 1).to_pylist()[0]
+                row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
                 page = np.frombuffer(row["rgb"], np.uint8).reshape(row["height"], row["width"], 3) if row.get("rgb") is not None else None
                 units = row["asked"]
                 crops = [None if page is None else _canvas(page, u) for u in units]
                 text = backend.recognize(crops, [f"{row['page_id']}-{u['pos']}" for u in units], [u["prompt"] for u in units], limit)
-                yield pa.record_batch(
-                    [pa.array([row["page_id"]] * len(units), pa.int64()), pa.array([u["pos"] for u in units], pa.int32()), pa.array([t.strip() for t in text], pa.string())],
-                    names=["page_id", "pos", "content"],
-                )
+                ids += [row["page_id"]] * len(units)
+                pos += [u["pos"] for u in units]
+                said += [t.strip() for t in text]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(said, pa.string())], names=["page_id", "pos", "content"])
 
     rows = asked(blocks, config).withColumn("page_id", F.col("page_id").cast("long"))
     if pixels is not None:
